@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import new_path, table
 
@@ -21,5 +22,21 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_tokens(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_token_files)}
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan, text_of
+
+    found = scan(table(spark, sf_dir, "documents"))
+    base = F.sha2(text_of(F.filter("spans", lambda x: x["kind"] != "random")), 256)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), text_of(F.col("spans")).alias("spans"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit_unheld, held_out, predict
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = predict(docs, fit_unheld(docs), ["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES = {f.__name__: f for f in (op5_packing, op6_token_files, op8_secret_scan, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
