@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import new_path, table
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -38,5 +44,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_token_files, op8_secret_scan, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op5_packing, op6_token_files, op8_secret_scan, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
