@@ -88,7 +88,7 @@ def mix(docs: DataFrame, most: float = 3.0, cycle: int = 3, seed: str = "mix", f
 
     chosen = each
     for i in range(fills):
-        chosen = _fill(chosen, goal, over=i == fills - 1)
+        chosen = _fill(chosen, goal, over=i > 0)
     copies = F.col("certain") + F.col("picked").cast("long")
     return chosen.select("doc_id", "source", "size", "source_size", "target", "copy_of", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
@@ -107,11 +107,12 @@ def _fill(each: DataFrame, goal: DataFrame, over: bool) -> DataFrame:
     sums = each.groupBy("source").agg(F.sum(F.when(F.col("picked"), F.col("size")).otherwise(0)).alias("got"))
     free = _with(goal.select("source", "extra"), sums, ("got",)).select("source", F.floor(F.col("extra") - F.col("got")).alias("free"))
     open_ = _with(each, free, ("free",))
-    fits = ~F.col("picked") & F.col("rank").isNotNull() & (F.col("size") > 0) & (F.col("size") < 2 * F.col("free") if over else F.col("size") <= F.col("free"))
-    order = F.struct((-F.abs(F.col("free") - F.col("size"))).alias("near"), F.col("size"), (-F.col("rank")).alias("r"), F.col("doc_id"), F.col("copy_of"))
+    fits = F.col("rank").isNotNull() & (F.col("size") > 0) & (F.col("picked") == (F.col("free") < 0))
+    fits = fits & (F.col("size") < 2 * F.abs("free") if over else F.col("size") <= F.col("free"))
+    order = F.struct((-F.abs(F.abs("free") - F.col("size"))).alias("near"), F.col("size"), (-F.col("rank")).alias("r"), F.col("doc_id"), F.col("copy_of"))
     best = open_.where(fits).groupBy("source").agg(F.max(order).alias("best"))
     marked = _with(open_, best, ("best",))
-    return marked.withColumn("picked", F.col("picked") | F.coalesce(order.eqNullSafe(F.col("best")), F.lit(False))).drop("best", "free")
+    return marked.withColumn("picked", F.col("picked") != F.coalesce(order.eqNullSafe(F.col("best")), F.lit(False))).drop("best", "free")
 
 
 def _oracle(most: int = 3, seed: str = "mix", fills: int = 3) -> str:
@@ -121,9 +122,9 @@ def _oracle(most: int = 3, seed: str = "mix", fills: int = 3) -> str:
     for i in range(1, fills + 1):
         steps += f""",
 f{i} AS (SELECT e.source, floor(any_value(extra) - sum(CASE WHEN picked THEN size ELSE 0 END)) AS free FROM {picked} e GROUP BY e.source),
-b{i} AS (SELECT p.source, p.doc_id, p.size, p.copy_of, row_number() OVER (PARTITION BY p.source ORDER BY abs(free - p.size), p.size DESC, -p.rank DESC, p.doc_id DESC, p.copy_of DESC) AS n
-  FROM {picked} p JOIN f{i} f ON p.source IS NOT DISTINCT FROM f.source WHERE NOT picked AND p.rank IS NOT NULL AND size > 0 AND size {'< 2 *' if i == fills else '<='} free),
-p{i} AS (SELECT p.* REPLACE (p.picked OR b.n IS NOT NULL AS picked) FROM {picked} p LEFT JOIN b{i} b ON b.n = 1 AND p.source IS NOT DISTINCT FROM b.source
+b{i} AS (SELECT p.source, p.doc_id, p.size, p.copy_of, row_number() OVER (PARTITION BY p.source ORDER BY abs(abs(free) - p.size), p.size DESC, -p.rank DESC, p.doc_id DESC, p.copy_of DESC) AS n
+  FROM {picked} p JOIN f{i} f ON p.source IS NOT DISTINCT FROM f.source WHERE picked = (free < 0) AND p.rank IS NOT NULL AND size > 0 AND size {'< 2 * abs(free)' if i > 1 else '<= free'}),
+p{i} AS (SELECT p.* REPLACE (p.picked <> (b.n IS NOT NULL) AS picked) FROM {picked} p LEFT JOIN b{i} b ON b.n = 1 AND p.source IS NOT DISTINCT FROM b.source
   AND p.doc_id IS NOT DISTINCT FROM b.doc_id AND p.size = b.size AND p.copy_of = b.copy_of)"""
         picked = f"p{i}"
     return rf"""
