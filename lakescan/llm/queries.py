@@ -9,6 +9,12 @@ from . import mixing
 from .common import new_path, table
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import fingerprints
 
@@ -51,5 +57,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op4_mixing, op5_packing, op6_token_files, op8_secret_scan, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_fingerprints, op4_mixing, op5_packing, op6_token_files, op8_secret_scan, op10_language_id)}
 ORACLE_SQL = {"op4_mixing": mixing.ORACLE_SQL}
