@@ -41,6 +41,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_tokens(spark, path))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import scan, text_of
 
@@ -57,5 +63,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_fingerprints, op4_mixing, op5_packing, op6_token_files, op8_secret_scan, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_fingerprints, op4_mixing, op5_packing, op6_token_files, op7_substring_dedup, op8_secret_scan, op10_language_id)}
 ORACLE_SQL = {"op4_mixing": mixing.ORACLE_SQL}
