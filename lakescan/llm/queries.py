@@ -21,6 +21,12 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -63,5 +69,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_fingerprints, op4_mixing, op5_packing, op6_token_files, op7_substring_dedup, op8_secret_scan, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_fingerprints, op3_near_dedup, op4_mixing, op5_packing, op6_token_files, op7_substring_dedup, op8_secret_scan, op10_language_id)}
 ORACLE_SQL = {"op4_mixing": mixing.ORACLE_SQL}
