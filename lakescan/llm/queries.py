@@ -61,6 +61,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), text_of(F.col("spans")).alias("spans"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit_unheld, held_out, predict
 
@@ -69,5 +75,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_fingerprints, op3_near_dedup, op4_mixing, op5_packing, op6_token_files, op7_substring_dedup, op8_secret_scan, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_fingerprints, op3_near_dedup, op4_mixing, op5_packing, op6_token_files, op7_substring_dedup, op8_secret_scan, op9_nearest, op10_language_id)}
 ORACLE_SQL = {"op4_mixing": mixing.ORACLE_SQL}
