@@ -1,54 +1,88 @@
-"""Word and span hashes, and bitmaps of hash sets, that the dedup operators share."""
+"""Word and span hashes, and bitmaps of hash sets, that the dedup operators share.
+
+Hashes are polynomials modulo 2^64 with an odd base, taken from prefix sums: a span's is a difference of two entries,
+brought to a common power by the inverse base. Bytes stand for random 64-bit numbers, and results are mixed.
+"""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+_BYTES = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+_NEXT_SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+BLOCK = 1 << 20
+
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-class Hashes(dict):
-    """64-bit hashes of words; it starts afresh at a million."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def spans(hashes: np.ndarray, size: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """Hashes of all spans of so many words, doubling the size where it can."""
-    if len(hashes) < size:
+class _Powers:
+    """Powers of the base and of its inverse, grown to the longest block so far."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(cls.up) <= n:
+            k = len(cls.up)
+            cls.up = np.concatenate([cls.up, cls.up * np.uint64(pow(BASE, k, 1 << 64))])
+            cls.down = np.concatenate([cls.down, cls.down * np.uint64(pow(INVERSE, k, 1 << 64))])
+        return cls.up, cls.down
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _Powers.upto(len(values))[0][: len(values)], out=out[1:])
+    return out
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """Hashes of the words of bytes.split(), in order."""
+    if len(data) <= BLOCK:
+        return _block_hashes(data)
+    out, at = [], 0
+    while at < len(data):
+        m = _NEXT_SPACE.search(data, min(at + BLOCK, len(data)))
+        end = m.start() if m else len(data)
+        out.append(_block_hashes(data[at:end]))
+        at = end
+    return np.concatenate(out)
+
+
+def _block_hashes(data: bytes) -> np.ndarray:
+    b = np.frombuffer(data, np.uint8)
+    edge = np.diff(np.concatenate([[True], _SPACE[b], [True]]).view(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    sums = _sums(_BYTES[b])
+    return mixed((sums[ends] - sums[starts]) * _Powers.down[starts] + (ends - starts).astype(np.uint64))
+
+
+def spans(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all spans of so many entries."""
+    n = len(hashes) - size + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    out, done, width, power = None, 0, 1, hashes
-    b = np.uint64(base)
-    left = size
-    while left:
-        if left & 1:
-            n = len(hashes) - size + 1
-            part = power[done : done + n]
-            out = part.copy() if out is None else out * np.uint64(pow(int(b), width, 2**64)) + part
-            done += width
-        left >>= 1
-        if left:
-            power = mixed(power[:-width] * np.uint64(pow(int(b), width, 2**64)) + power[width:])
-            width *= 2
-    return mixed(out)
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, BLOCK):
+        part = hashes[a : a + BLOCK + size - 1]
+        sums = _sums(part)
+        k = len(part) - size + 1
+        out[a : a + k] = mixed((sums[size:] - sums[:k]) * _Powers.down[:k])
+    return out
 
 
 class Bitmap:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, written
 from .components import components
-from .hashing import Bitmap, Hashes, mixed, spans
+from .hashing import Bitmap, mixed, spans, word_hashes
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
 LAST = 2**63 - 1
@@ -39,14 +39,11 @@ class Signer:
         r = np.random.default_rng(seed)
         self.a = (r.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * 2 + 1)[:, None]
         self.b = r.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)[:, None]
-        self.hashes = Hashes()
 
     def shingles(self, text: str | None) -> np.ndarray:
         """Hashes of the set, sorted; ASCII letters count in lower case."""
-        words = words_of_lower(text)
-        if not words:
-            return np.zeros(0, np.uint64)
-        return np.unique(spans(self.hashes.of(words), min(SHINGLE, len(words))))
+        words = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())
+        return np.unique(spans(words, min(SHINGLE, len(words)))) if len(words) else np.zeros(0, np.uint64)
 
     def minima(self, shingles: np.ndarray, step: int = 512) -> np.ndarray:
         x, out = (shingles >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
@@ -63,10 +60,6 @@ class Signer:
         return key.view(np.int64)
 
 
-def words_of_lower(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
 def node_of(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.astype("<u8").tobytes())
 

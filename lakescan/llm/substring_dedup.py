@@ -9,7 +9,8 @@ anchor make a run, and runs are what is dealt:
 2. equal runs of an anchor are reduced to their smallest id: all windows of the others are covered by it;
 3. what is left, different runs of one anchor, goes to suffix automata: a shard's runs come by document id, each is
    streamed through the automaton of those before it (matching statistics), and then extends it. Shards with more than
-   ``most`` runs take the other exact way: their windows are grouped by hash, which is combined before the shuffle;
+   ``most`` runs keep hashes of their windows instead, which take less memory; those with more than ``largest`` are not
+   held in a task: their windows are grouped by hash, combined before the shuffle;
 4. what each document's runs lose is joined to its text, and the covered words are removed.
 
 The corpus is its own reference, so its automata can't be sent to every task: that grows with the data. They are built
@@ -29,24 +30,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, written
-from .hashing import Bitmap, Hashes, mixed, spans, words_of
+from .hashing import Bitmap, mixed, spans, word_hashes, words_of
 
 ANCHOR = 8
 NO_ID = -(2**63)
 
 
 def least_of(keys: np.ndarray, width: int) -> np.ndarray:
-    """For each span of ``width`` keys the place of its smallest one, the leftmost of equal ones."""
-    n = len(keys) - width + 1
-    order = np.argsort(keys, kind="stable")
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = np.arange(len(keys))
-    low, done = rank, 1
+    """For each span of ``width`` keys the place of its smallest one (by the upper 40 bits), the leftmost of equal ones."""
+    places, n = np.uint64(24), len(keys) - width + 1
+    if len(keys) >> 24:
+        order = np.argsort(keys >> places, kind="stable")
+        low = np.empty(len(keys), np.uint64)
+        low[order] = np.arange(len(keys), dtype=np.uint64)
+    else:
+        order, low = None, (keys >> places << places) | np.arange(len(keys), dtype=np.uint64)
+    done = 1
     while done * 2 <= width:
         low = np.minimum(low[:-done], low[done:])
         done *= 2
     low = np.minimum(low[:n], low[width - done : width - done + n])
-    return order[low]
+    return order[low] if order is not None else (low & np.uint64((1 << 24) - 1)).astype(np.int64)
 
 
 class Runs:
@@ -150,6 +154,21 @@ def covered_in_shard(runs: list[tuple[int, int, list]], window: int) -> list[lis
     return out
 
 
+class Seen:
+    """The same for a large shard, one document after another: hashes of the windows before, in place of an automaton."""
+
+    def __init__(self, window: int):
+        self.window, self.before, self.own, self.doc = window, set(), set(), None
+
+    def covered(self, doc: int, words: bytes) -> list[int]:
+        if doc != self.doc:
+            self.before |= self.own
+            self.own, self.doc = set(), doc
+        hashes = spans(word_hashes(words), self.window).tolist()
+        self.own.update(hashes)
+        return [k for k, h in enumerate(hashes) if h in self.before]
+
+
 def _scan(docs: DataFrame, window: int, keep: Bitmap | None, words: Bitmap | None = None) -> DataFrame:
     """One row per run whose anchor is kept: doc, row (hash of the text), anchor, key, first, count.
 
@@ -159,16 +178,12 @@ def _scan(docs: DataFrame, window: int, keep: Bitmap | None, words: Bitmap | Non
     schema = "doc long, row long, anchor long, key long, first int, count int" + (", words binary" if words is not None else "")
 
     def make():
-        hashes = Hashes()
         anchors, keys = (b.value if b is not None else None for b in shared)
 
         def step(texts, ids):
             out, texts_out = [[] for _ in range(6)], []
             for doc, row, text in zip(ids["doc"], ids["row"], texts):
-                all_words = words_of(text)
-                if len(all_words) < window:
-                    continue
-                r = Runs(hashes.of(all_words), window)
+                r = Runs(word_hashes((text or "").encode("utf-8", "surrogatepass")), window)
                 which = np.arange(len(r.first)) if anchors is None else np.flatnonzero(anchors.has(r.anchor))
                 if keys is not None and len(which):
                     which = which[keys.has(r.key[which])]
@@ -177,6 +192,7 @@ def _scan(docs: DataFrame, window: int, keep: Bitmap | None, words: Bitmap | Non
                 for c, v in zip(out, (np.full(len(which), doc, np.int64), np.full(len(which), row, np.int64), r.anchor[which], r.key[which], r.first[which].astype(np.int32), r.count[which].astype(np.int32))):
                     c.append(v)
                 if keys is not None:
+                    all_words = words_of(text)
                     texts_out += [b" ".join(all_words[r.first[k] : r.first[k] + r.count[k] + window - 1]) for k in which]
             kinds = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32)
             found = {n: np.concatenate(c) if c else np.zeros(0, k) for n, c, k in zip(("doc", "row", "anchor", "key", "first", "count"), out, kinds)}
@@ -191,11 +207,11 @@ def _ids(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("row"), "text")
 
 
-def _by_automaton(runs: DataFrame, window: int) -> DataFrame:
+def _by_shard(runs: DataFrame, window: int, most: int) -> DataFrame:
     """anchor, key, covered (windows of the run): shards are read one after another from sorted rows."""
 
     def run(batches):
-        shard, at, out = [], None, ([], [], [])
+        shard, at, out, seen = [], None, ([], [], []), None
 
         def close():
             if shard:
@@ -210,29 +226,32 @@ def _by_automaton(runs: DataFrame, window: int) -> DataFrame:
             return made
 
         for b in batches:
-            for anchor, doc, key, count, words in zip(*(c.to_pylist() for c in b.columns)):
+            for anchor, doc, key, count, words, n in zip(*(c.to_pylist() for c in b.columns)):
                 if anchor != at:
                     close()
-                    shard, at = [], anchor
-                shard.append((doc, count, words.split(b" "), anchor, key))
-            if len(out[0]) > 2000:
-                yield batch()
+                    shard, at, seen = [], anchor, Seen(window) if n > most else None
+                if seen is None:
+                    shard.append((doc, count, words.split(b" "), anchor, key))
+                else:
+                    for c, v in zip(out, (anchor, key, seen.covered(doc, words))):
+                        c.append(v)
+                if len(out[0]) > 2000:
+                    yield batch()
         close()
         yield batch()
 
-    ordered = runs.repartition("anchor").sortWithinPartitions("anchor", "doc", "key").select("anchor", "doc", "key", "count", "words")
+    ordered = runs.repartition("anchor").sortWithinPartitions("anchor", "doc", "key").select("anchor", "doc", "key", "count", "words", "n")
     return ordered.mapInArrow(run, "anchor long, key long, covered array<int>")
 
 
 def _by_window(runs: DataFrame, window: int) -> DataFrame:
-    """The same for large shards: each window by its hash, with the smallest id that has it."""
+    """The same for shards of any size: each window by its hash, with the smallest id that has it."""
 
     def run(batches):
-        hashes = Hashes()
         for b in batches:
             out = [[] for _ in range(5)]
             for anchor, doc, key, words in zip(*(c.to_pylist() for c in b.columns)):
-                own = spans(hashes.of(words.split(b" ")), window).view(np.int64)
+                own = spans(word_hashes(words), window).view(np.int64)
                 for c, v in zip(out, (np.full(len(own), anchor), np.full(len(own), doc), np.full(len(own), key), np.arange(len(own)), own)):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out], ["anchor", "doc", "key", "place", "hash"])
@@ -243,7 +262,7 @@ def _by_window(runs: DataFrame, window: int) -> DataFrame:
     return hit.groupBy("anchor", "key").agg(F.transform(F.array_sort(F.collect_set("place")), lambda x: x.cast("int")).alias("covered"))
 
 
-def covered_windows(docs: DataFrame, window: int = 50, most: int = 500) -> DataFrame:
+def covered_windows(docs: DataFrame, window: int = 50, most: int = 500, largest: int = 50_000) -> DataFrame:
     """doc, row, windows: array of (first, count), ranges of windows that start in a document with a smaller id too."""
     shared = _scan(docs, window, None).groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor")
     anchors = Bitmap.of(shared, "anchor")
@@ -254,7 +273,7 @@ def covered_windows(docs: DataFrame, window: int = 50, most: int = 500) -> DataF
     with_words = _scan(docs, window, anchors, Bitmap.of(open_, "key")).withColumnRenamed("doc", "least")
     once = with_words.join(open_, ["anchor", "key", "least"]).dropDuplicates(["anchor", "key", "least"])
     texts = written(once.select("anchor", "key", F.col("least").alias("doc"), "count", "words", "n"), "open-words")
-    covered = _by_automaton(texts.where(F.col("n") <= most).drop("n"), window).unionByName(_by_window(texts.where(F.col("n") > most), window))
+    covered = _by_shard(texts.where(F.col("n") <= largest), window, most).unionByName(_by_window(texts.where(F.col("n") > largest), window))
     found = least.join(covered.where(F.size("covered") > 0), ["anchor", "key"], "left")
     every = runs.join(found, ["anchor", "key"]).where("doc > least OR covered IS NOT NULL")
     some = F.transform("covered", lambda k: F.struct((F.col("first") + k).alias("first"), F.lit(1).alias("count")))
@@ -262,10 +281,10 @@ def covered_windows(docs: DataFrame, window: int = 50, most: int = 500) -> DataF
     return every.select("doc", "row", F.explode(ranges).alias("w")).groupBy("doc", "row").agg(F.collect_set("w").alias("windows"))
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, most: int = 500) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, most: int = 500, largest: int = 50_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept (text of the kept words, joined by a space), kept_sha256."""
     schema = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
-    rows = _ids(docs).join(covered_windows(docs, window, most), ["doc", "row"], "left")
+    rows = _ids(docs).join(covered_windows(docs, window, most, largest), ["doc", "row"], "left")
 
     def run(batches):
         for b in batches:

@@ -1,10 +1,12 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lakescan.llm import hashing
 from lakescan.llm.queries import op7_substring_dedup
 from lakescan.llm.substring_dedup import Automaton, covered_in_shard, remove_repeats
 
@@ -39,8 +41,8 @@ def test_query_equals_brute_force(spark, small, tmp_path):
     assert digests(op7_substring_dedup(spark, d)) == brute(spark.read.parquet(f"{d}/documents.parquet").collect())
 
 
-@pytest.mark.parametrize("most", [500, 2])
-def test_shared_passages(spark, most):
+@pytest.mark.parametrize(("most", "largest"), [(500, 50000), (2, 50000), (2, 5)])
+def test_shared_passages(spark, most, largest):
     r = random.Random(most)
     passages = [[f"w{r.randint(0, 300)}" for _ in range(r.randint(8, 60))] for _ in range(6)]
     rows = []
@@ -52,7 +54,7 @@ def test_shared_passages(spark, most):
             w += p[a : len(p) - r.randint(0, len(p) // 3)] + [f"u{r.randint(0, 5)}"] * r.randint(0, 2)
         rows.append((r.randint(0, 90), " ".join(w), "en", "s", 0))
     df = odd(spark, rows).repartition(5)
-    assert digests(remove_repeats(df, window=12, most=most)) == brute(df.collect(), 12)
+    assert digests(remove_repeats(df, window=12, most=most, largest=largest)) == brute(df.collect(), 12)
 
 
 @settings(max_examples=100, deadline=None)
@@ -72,5 +74,21 @@ def test_shards_look_at_smaller_ids_only():
     assert covered_in_shard([(1, 5, w), (1, 5, w), (2, 5, w)], 4) == [[], [], [0, 1, 2, 3, 4]]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text("ab \n\t\x0b\x1c\xa0é", max_size=60), st.sampled_from([7, 1 << 20]))
+def test_word_hashes_tell_words_apart(text, block):
+    hashing.BLOCK, before = block, hashing.BLOCK
+    try:
+        data = text.encode()
+        words, found = data.split(), hashing.word_hashes(data).tolist()
+        assert len(found) == len(words) and len(set(zip(words, found))) == len(set(words)) == len(set(found))
+        for size in (1, 2, 3):
+            got = hashing.spans(np.array(found, np.uint64), size).tolist()
+            want = [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
+            assert len(got) == len(want) and len(set(zip(got, want))) == len(set(got)) == len(set(want))
+    finally:
+        hashing.BLOCK = before
+
+
 def test_empty_table(spark, tmp_path):
     assert op7_substring_dedup(spark, at(spark, tmp_path, documents=odd(spark, []))).count() == 0
