@@ -65,7 +65,7 @@ def text_slices(texts: list[str | None], most: int = 2_000_000) -> Iterator[tupl
 
 
 def map_texts(
-    df: DataFrame, keys: list[str], text: str, make: Callable[[], Callable[[list[str | None], dict[str, list]], dict]], schema: str
+    df: DataFrame, keys: list[str], text: str, make: Callable[[], Callable[[list[str | None], dict[str, list]], dict]], schema: str, most: int = 2_000_000
 ) -> DataFrame:
     """mapInArrow over (keys, text): make() builds, once per task, a function from texts and key lists to new columns.
 
@@ -81,7 +81,7 @@ def map_texts(
         for batch in batches:
             texts = batch.column(len(keys)).to_pylist()
             lists = [batch.column(i) for i in range(len(keys))]
-            for a, b in text_slices(texts):
+            for a, b in text_slices(texts, most):
                 out = step(texts[a:b], {k: x.slice(a, b - a).to_pylist() for k, x in zip(keys, lists)})
                 yield pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in arrow], schema=arrow)
 

@@ -152,7 +152,7 @@ def pack_documents(
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_slices(texts):
+            for a, b in text_slices(texts, 4_000_000):
                 ids, stops = enc.encode(texts[a:b], end)
                 bins, begin = [], 0
                 for key, stop in zip(keys[a:b], stops):

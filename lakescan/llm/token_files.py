@@ -29,6 +29,7 @@ def write_options(row_group_bytes: int = 32 << 20, page_rows: int = 2000) -> dic
     plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "part", "start_in_part", "n_tokens")}
     return plain | {
         "compression": "zstd",
+        "parquet.compression.codec.zstd.level": "1",
         "parquet.enable.dictionary": "true",
         "parquet.writer.version": "PARQUET_2_0",
         "parquet.block.size": str(row_group_bytes),
@@ -54,7 +55,7 @@ def tokens_of(docs: DataFrame, tokenizer: str, kind: str, end: int) -> DataFrame
         return step
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return map_texts(ordered, ["doc_id"], "text", make, SCHEMA)
+    return map_texts(ordered, ["doc_id"], "text", make, SCHEMA, most=4_000_000)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, kind: str = "byte", end: int = 0, **sizes: int) -> None:

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import islice
+from itertools import compress, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # The characters with Unicode property White_Space, as a character class body.
-SPACES = "\t-\r \x85\xa0  -     　"
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: By kind of vocabulary: "word" drops white space and never joins across it; in "byte" one space joins what follows.
 PIECES = {
@@ -32,6 +34,14 @@ def tokenizer_path(name: str) -> str:
 BETWEEN = {"word": " \x01 ", "byte": "\n"}
 
 
+# White space but for the space and the line end, and NUL.
+UNUSUAL = "\0\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Marks that end a word for either pre-tokenizer (an apostrophe may not).
+MARKS = ".,;:!?*$%&#)"
+TWO = [a + b for a in " \n" for b in " \n"]
+THREE = [a + b for a in TWO for b in " \n"]
+
+
 class _Index(dict):
     def __missing__(self, piece: str) -> int:
         self[piece] = at = len(self)
@@ -47,28 +57,59 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.find, self.limit, self.between = PIECES[kind].findall, limit, BETWEEN[kind]
+        self.kind, self.find, self.limit, self.between = kind, PIECES[kind].findall, limit, BETWEEN[kind]
         (self.mark,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
         self._clear()
 
     def _clear(self) -> None:
         self.index = _Index()
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep only what was used again since the last time; nothing, if that is still too much."""
+        kept = np.flatnonzero(self.used > 2)
+        if len(kept) > self.limit // 2:
+            return self._clear()
+        again = self.used > 2
+        self.index = _Index((p, i) for i, p in enumerate(compress(self.index, again)))
+        self.flat, self.sizes = self.flat[_runs(self.starts[kept], self.sizes[kept])], self.sizes[kept]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.used = np.zeros(len(kept), np.int64)
 
     def _learn(self) -> None:
-        known = len(self.starts)
-        if len(self.index) == known:
-            return
+        """Encode what was met for the first time; a word with marks behind it is put together from both."""
+        known, get = len(self.starts), self.index.__getitem__
         fresh = list(islice(self.index, known, None))
-        flat, sizes = self._together(fresh)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
+        if not fresh:
+            return
+        whole, core, tail = [], [], []
+        for code, piece in enumerate(fresh, known):
+            if piece[-1:] in MARKS:
+                word = piece.rstrip(MARKS)
+                if word and word[-1].isalpha() and word[-1] < "\u0100":
+                    whole.append(code)
+                    core.append(get(word))
+                    tail.append(get(piece[len(word) :]))
+        fresh += islice(self.index, known + len(fresh), None)
+        alone = np.ones(len(fresh), bool)
+        alone[np.array(whole, np.int64) - known] = False
+        flat, found = self._together(list(compress(fresh, alone)))
+        sizes, starts = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        sizes[alone], starts[alone] = found, len(self.flat) + np.cumsum(found) - found
+        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, flat])
+        if whole:
+            both = np.stack([core, tail], axis=1)
+            sizes = self.sizes[both]
+            self.sizes[whole] = sizes.sum(axis=1)
+            self.starts[whole] = len(self.flat) + np.cumsum(self.sizes[whole]) - self.sizes[whole]
+            self.flat = np.concatenate([self.flat, self.flat[_runs(self.starts[both].ravel(), sizes.ravel())]])
 
     def _together(self, pieces: list[str], most: int = 512) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and numbers of ids of pieces; pieces of white space or with the mark's own character go one by one."""
+        """Ids and numbers of ids of at least one piece; pieces of white space or with the mark's own character go one by one."""
         mark = self.between.strip(" ")
-        alone = [i for i, p in enumerate(pieces) if mark in p or p.isspace()]
+        alone = [i for i, p in enumerate(pieces) if mark in p or not p or p.isspace()]
         rest = pieces
         if alone:
             rest = pieces.copy()
@@ -82,33 +123,65 @@ class PieceEncoder:
         flat = np.delete(flat, marks)
         if not alone:
             return flat, sizes
-        parts = np.split(flat, np.cumsum(sizes)[:-1])
-        for i in alone:
-            parts[i] = np.array(self.tokenizer.encode(pieces[i], add_special_tokens=False).ids, np.uint32)
-        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        starts = np.cumsum(sizes) - sizes
+        own = [self.tokenizer.encode(pieces[i], add_special_tokens=False).ids for i in alone]
+        more = np.fromiter(map(len, own), np.int64, len(own))
+        starts[alone] = len(flat) + np.cumsum(more) - more
+        sizes[alone] = more
+        flat = np.concatenate([flat, np.array([i for x in own for i in x], np.uint32)])
+        return flat[_runs(starts, sizes)], sizes
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end``; where each text's ids stop). None counts as empty."""
         if len(self.index) > self.limit:
-            self._clear()
-        find, get = self.find, self.index.__getitem__
-        codes, counts = [], np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                before = len(codes)
-                codes += map(get, find(t))
-                counts[i] = len(codes) - before
+            self._forget()
+        codes, counts = self._codes([t or "" for t in texts])
         self._learn()
-        codes = np.array(codes, dtype=np.int64)
+        self.used = np.concatenate([self.used, np.zeros(len(self.index) - len(self.used), np.int64)]) + np.bincount(codes, minlength=len(self.index))
         sizes = self.sizes[codes]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         stops = upto[np.cumsum(counts)] + np.arange(1, len(texts) + 1)
         out = np.full(int(upto[-1]) + len(texts), end, np.uint32)
         mask = np.ones(len(out), bool)
         mask[stops - 1] = False
-        out[mask] = self.flat[np.arange(int(upto[-1])) + np.repeat(self.starts[codes] - upto[:-1], sizes)]
+        out[mask] = self.flat[_runs(self.starts[codes], sizes)]
         return out, stops
 
+    def _codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the pieces of all texts, and how many pieces each has."""
+        plain = [self.kind == "word" or _is_plain(t) for t in texts]
+        if self.kind == "word":
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+        else:
+            marked = [t.replace("\n", "\0\n\0").replace(" ", "\0 ") if p else "" for t, p in zip(texts, plain)]
+            lists = pc.split_pattern(pa.array(marked, pa.large_string()), "\0")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        words = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        get = self.index.__getitem__
+        known = np.fromiter(map(get, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+        codes, starts, counts = known[words.indices.to_numpy()], offsets[:-1] - offsets[0], np.diff(offsets)
+        if all(plain):
+            return codes, counts
+        own = [list(map(get, self.find(t))) if not p else [] for t, p in zip(texts, plain)]
+        more = np.fromiter(map(len, own), np.int64, len(own))
+        at = len(codes) + np.cumsum(more) - more
+        codes = np.concatenate([codes, np.array([c for x in own for c in x], np.int64)])
+        plain = np.array(plain)
+        counts = np.where(plain, counts, more)
+        return codes[_runs(np.where(plain, starts, at), counts)], counts
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The integers of the ranges [start, start + size), one range after another."""
+    upto = np.cumsum(sizes)
+    return np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(starts - (upto - sizes), sizes)
+
+
+def _is_plain(text: str) -> bool:
+    """White space is spaces and line ends, nowhere more than two at once: pieces then end before each of them."""
+    has = text.__contains__
+    return not (any(map(has, UNUSUAL)) or any(map(has, THREE)) or text[-2:] in TWO)
+
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 

@@ -12,7 +12,7 @@ from lakescan.llm.tokenize import PieceEncoder, tokenizer_path
 
 from .helpers import at, odd
 
-PARTS = ["a", "B", "é", "é", "İ", "ΑΣ ", "'s", "it's", "'LL", " ", "  ", "\n", "\t\n", "\x85", "\xa0", "\x1c", "\x01", "x\x01y", "１2", "½", "<|endoftext|>", "</w>", "日本", "🙂", ".", "***", "\r\n", "\x00", "ſ"]
+PARTS = ["a", "a.b", "it's.", "Ab!?*", ")", "é,", "B", "é", "é", "İ", "ΑΣ ", "'s", "it's", "'LL", " ", "  ", "\n", "\t\n", "\x85", "\xa0", "\x1c", "\x01", "x\x01y", "１2", "½", "<|endoftext|>", "</w>", "日本", "🙂", ".", "***", "\r\n", "\x00", "ſ"]
 
 
 def encode(name, text):
