@@ -93,6 +93,23 @@ def mix(docs: DataFrame, most: float = 3.0, cycle: int = 3, seed: str = "mix", f
     return chosen.select("doc_id", "source", "size", "source_size", "target", "copy_of", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; rows with equal id, source and size in the order of text."""
+    key = ("source", "doc_id", "size")
+    found = mix(docs, **options).groupBy(*key)
+    copies = found.agg(F.max("copy_of").alias("_last"), F.array_sort(F.collect_list(F.struct("copy_of", "copies"))).alias("_copies"))
+    other = copies.select(*(F.col(c).alias(f"_{c}") for c in key), "_last", "_copies")
+    sized = docs.withColumn("_words", words("text"))
+    same = F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_words") == F.col("_size"))
+    joined = sized.join(other, same)
+    alone = joined.where("_last = 1").withColumn("_n", F.element_at("_copies", 1)["copies"])
+    place = F.row_number().over(Window.partitionBy("_source", "_doc_id", "_size").orderBy("text"))
+    several = joined.where("_last > 1").withColumn("_place", place)
+    several = several.withColumn("_n", F.aggregate("_copies", F.lit(0).cast("long"), lambda n, x: n + F.when(x["copy_of"] == F.col("_place"), x["copies"]).otherwise(0))).drop("_place")
+    each = alone.unionByName(several).withColumn("_each", F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int"))))
+    return each.select(*docs.columns)
+
+
 def _with(df: DataFrame, few: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Columns of a table with a row per source, by source (null too). A row per source; the join side is not forced."""
     other = few.select(F.col("source").alias("_source"), *columns)

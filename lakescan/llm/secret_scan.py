@@ -170,10 +170,7 @@ def scan(docs: DataFrame, q: float = 0.001, least_chance: float = 0.005, bins: i
     """
     found = written(_scan(docs), "secrets")
     rows = found.where("characters IS NULL")
-    excess = _excess(found)
-    score = F.floor(_ordinary(F.col("r.chi"), F.col("r.length"), F.col("r.encoding"), excess) * bins)
-    counts = rows.select(F.explode("runs").alias("r")).where(F.col("r.chance") >= least_chance).select(F.least(score, F.lit(400 * bins)).alias("bin"))
-    bound = _bound({r.bin: r.n for r in counts.groupBy("bin").agg(F.count("*").alias("n")).collect()}, q, bins)
+    excess, bound = _decide(found, q, least_chance, bins)
     passed = F.filter(
         "runs", lambda r: (r["chance"] >= least_chance) & (F.floor(_ordinary(r["chi"], r["length"], r["encoding"], excess) * bins) >= bound)
     )
@@ -186,6 +183,51 @@ def scan(docs: DataFrame, q: float = 0.001, least_chance: float = 0.005, bins: i
     return rows.select("doc_id", "n_assign", "n_access", "n_hex", spans.alias("spans"))
 
 
+def _decide(found: DataFrame, q: float, least_chance: float, bins: int) -> tuple[list[float], int]:
+    """What ordinary characters add to chi-squared, by encoding, and the least bin that is a discovery."""
+    excess = _excess(found)
+    score = F.floor(_ordinary(F.col("r.chi"), F.col("r.length"), F.col("r.encoding"), excess) * bins)
+    runs = found.where("characters IS NULL").select(F.explode("runs").alias("r")).where(F.col("r.chance") >= least_chance)
+    counts = runs.select(F.least(score, F.lit(400 * bins)).alias("bin")).groupBy("bin").agg(F.count("*").alias("n")).collect()
+    return excess, _bound({r.bin: r.n for r in counts}, q, bins)
+
+
+def redact(docs: DataFrame, mark: str, q: float = 0.001, least_chance: float = 0.005, bins: int = 100) -> DataFrame:
+    """The documents (doc_id, text, n_chars and other columns) with each found span, or run of such, replaced by mark."""
+    excess, bound = _decide(written(_scan(docs).drop("base"), "secrets"), q, least_chance, bins)
+    others, schema = [c for c in docs.columns if c not in ("text", "n_chars")], docs.select(*(c for c in docs.columns if c not in ("text", "n_chars")), "text", "n_chars").schema
+    sizes = [(len(a), x) for a, x in zip(ALPHABETS.values(), excess)]
+    codes = {k: i for i, k in enumerate(ALPHABETS)}
+
+    def clean(text: str) -> str:
+        spans = [(s, e) for s, _, e in base_spans(text)]
+        for m in RUN.finditer(text):
+            body = m.group().rstrip("=")
+            kind = encoding_of(body) if len(body) >= 20 else None
+            if kind and not any(s <= m.start() and m.end() <= e for s, e in spans):
+                chi, chance = battery(body, ALPHABETS[kind])
+                size, x = sizes[codes[kind]]
+                shift = len(body) * x
+                z = (size - 1 + shift - chi) / math.sqrt(2 * (size - 1) + 4 * shift)
+                if chance >= least_chance and math.floor((z * z / (2 * math.log(10)) if z > 0 else 0.0) * bins) >= bound:
+                    spans.append((m.start(), m.end()))
+        out, at = [], 0
+        for s, e in sorted(spans):
+            if e > at:
+                out += [text[at:s], mark] if s >= at else []
+                at = e
+        return "".join(out) + text[at:]
+
+    def run(batches):
+        for b in batches:
+            texts, sizes_ = b.column(len(others)).to_pylist(), b.column(len(others) + 1).to_pylist()
+            new = [clean(t) if t else t for t in texts]
+            n = [len(t) if t is not None and k is not None and t != old else k for t, old, k in zip(new, texts, sizes_)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array(new, pa.string()), pa.array(n, pa.int64())], schema.names)
+
+    return docs.select(*others, "text", F.col("n_chars").cast("long").alias("n_chars")).mapInArrow(run, schema)
+
+
 def _excess(found: DataFrame) -> list[float]:
     """By encoding: what one ordinary character adds to chi-squared on average."""
     sums = found.where("characters IS NOT NULL").select(F.posexplode("characters").alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n")).collect()
