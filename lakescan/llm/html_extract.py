@@ -53,8 +53,8 @@ CLOSES = {
 P_SCOPE = frozenset("table td th caption button object html body".split())
 NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promos promoted promotion banner banners
-    sidebar sidebars sidenav rail widget widgets comment comments commentlist commentary disqus reply replies respond discussion
-    cookie cookies consent gdpr notice notices alert alerts newsletter subscribe subscription signup popup popups modal overlay paywall toast
+    side sidebar sidebars sidenav rail widget widgets comment comments commentlist commentary disqus reply replies respond responses discussion
+    cookie cookies consent gdpr notice notices disclaimer alert alerts newsletter subscribe subscription signup popup popups modal overlay paywall toast
     share sharing shares social related recommended recommendations breadcrumb breadcrumbs pagination pager
     menu menus nav navbar navigation masthead topbar toolbar footer foot colophon copyright login search skip""".split()
 )
@@ -96,13 +96,14 @@ class _Page:
             self.links -= self.tags[n] == "a"
         del self.stack[depth:]
 
-    def find(self, names, scope) -> int | None:
+    def find(self, names, scope, inline: bool = False) -> int | None:
+        """The innermost open element with one of the names, up to the scope; inline: not across block elements."""
         if not any(self.count[x] for x in names):
             return None
         for depth in range(len(self.stack) - 1, 0, -1):
             if (tag := self.tags[self.stack[depth]]) in names:
                 return depth
-            if tag in scope:
+            if tag in scope or (inline and tag not in INLINE):
                 return None
         return None
 
@@ -141,8 +142,7 @@ class _Page:
         return bool(names & NAMES)
 
     def close(self, tag: str) -> None:
-        scope = () if tag not in INLINE else {t for t in self.tags[1:] if t not in INLINE} if len(self.tags) < 50 else PARAGRAPHS | {"div", "section", "article"}
-        if (depth := self.find((tag,), scope)) is not None:
+        if (depth := self.find((tag,), (), inline=tag in INLINE)) is not None:
             self.pop_to(depth)
 
     def read(self, page: str) -> None:
