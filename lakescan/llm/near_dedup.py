@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, written
+from .common import batches_of, map_texts, written
 from .components import components
 from .hashing import Bitmap, mixed, spans, word_hashes
 
@@ -127,29 +127,25 @@ def _leaders(buckets: DataFrame, percent: int, tried: int) -> DataFrame:
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """u, v: pairs whose full sets have the similarity. Sets are made again from texts, of the classes in pairs only."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes, "node").select("node", "least")
-    wanted = written(wanted.withColumn("h", F.xxhash64("node", "least")), "wanted")
+    head = F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("bigint")
+    wanted = written(wanted.withColumn("h", head.bitwiseXOR(F.col("least"))), "wanted")
     keep = docs.sparkSession.sparkContext.broadcast(Bitmap.of(wanted, "h"))
-    which = F.xxhash64("node", "doc").alias("h")
 
     def make():
-        signer = Signer()
+        signer, bitmap = Signer(), keep.value
 
         def step(texts, own):
             sets = [signer.shingles(t) for t in texts]
-            return own | {"node": [node_of(s) if len(s) else None for s in sets], "set": [s.astype("<u8").tobytes() for s in sets]}
+            nodes = [node_of(s) for s in sets]
+            heads = np.array([int.from_bytes(x[:7], "big") ^ d for x, d in zip(nodes, own["doc"])], np.int64)
+            hit = [i for i in np.flatnonzero(bitmap.has(heads)).tolist() if len(sets[i])]
+            return {"doc": [own["doc"][i] for i in hit], "node": [nodes[i] for i in hit], "set": [sets[i].astype("<u8").tobytes() for i in hit]}
 
         return step
 
-    def keep_only(batches):
-        bitmap = keep.value
-        for b in batches:
-            hit = np.flatnonzero(bitmap.has(b.column(2).to_numpy()))
-            yield b.take(pa.array(hit, pa.int64()))
-
-    made = map_texts(_rows(docs), ["doc"], "text", make, "doc long, node binary, set binary").where("node IS NOT NULL")
-    some = made.select("node", "doc", which, "set").mapInArrow(keep_only, "node binary, doc long, h long, set binary")
-    sets = written(some.join(wanted.select("node", F.col("least").alias("doc")), ["node", "doc"]).dropDuplicates(["node", "doc"]).select("node", "set"), "sets")
-
+    with batches_of(docs.sparkSession, 1000):
+        some = map_texts(_rows(docs), ["doc"], "text", make, "doc long, node binary, set binary")
+        sets = written(some.join(wanted.select("node", F.col("least").alias("doc")), ["node", "doc"]).dropDuplicates(["node", "doc"]).select("node", "set"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
 
     def compare(batches):
@@ -163,7 +159,8 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
             at = pa.array(hit, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["u", "v"])
 
-    return written(both.select("a", "b", "x", "y").mapInArrow(compare, "u binary, v binary"), "links")
+    with batches_of(docs.sparkSession, 200):  # a row is two whole sets
+        return written(both.select("a", "b", "x", "y").mapInArrow(compare, "u binary, v binary"), "links")
 
 
 def _rest(buckets: DataFrame, roots: DataFrame, signed: DataFrame, classes: DataFrame, percent: int, agree: float) -> DataFrame:
@@ -219,7 +216,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, tried: int = 2, agree: f
 
     tried: leaders a class is compared with at first; agree: share of a signature that must agree before sets are read.
     """
-    signed = written(signatures(docs), "signatures")
+    with batches_of(docs.sparkSession, 1000):
+        signed = written(signatures(docs), "signatures")
     classes = written(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("least")), "classes")
     buckets = _buckets(signed)
     first = _leaders(buckets, percent, tried)
