@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, near_dedup, substring_dedup
 from .common import new_path, table
 
 
@@ -76,4 +76,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extract, op2_fingerprints, op3_near_dedup, op4_mixing, op5_packing, op6_token_files, op7_substring_dedup, op8_secret_scan, op9_nearest, op10_language_id)}
-ORACLE_SQL = {"op4_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL = {"op3_near_dedup": near_dedup.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op7_substring_dedup": substring_dedup.ORACLE_SQL}

@@ -302,3 +302,18 @@ def remove_repeats(docs: DataFrame, window: int = 50, most: int = 500, largest:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(list(zip(*out)) or [()] * 5, kinds)], [x.split()[0] for x in schema.split(", ")])
 
     return rows.select("doc", "text", "windows").mapInArrow(run, schema)
+
+
+#: DuckDB SQL of the query: all windows of all documents, with the smallest id of each.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM d WHERE len(words) >= 50),
+windows AS (SELECT doc_id, i, md5(array_to_string(words[i : i + 49], ' ')) AS w FROM starts),
+least AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
+hit AS (SELECT doc_id, i FROM windows JOIN least USING (w) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM hit),
+each_word AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM d),
+kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY k) AS text, count(*) AS n FROM each_word e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.k = g.k GROUP BY e.doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
