@@ -87,8 +87,8 @@ def mix(docs: DataFrame, most: float = 3.0, cycle: int = 3, seed: str = "mix", f
     each = written(each.where(~at_cut).withColumn("picked", sure).unionByName(there), "mix-picked")
 
     chosen = each
-    for i in range(fills):
-        chosen = _fill(chosen, goal, over=i > 0)
+    for i in range(fills):  # written each time: a plan that reads the last one thrice would grow threefold a round
+        chosen = written(_fill(chosen, goal, over=i > 0), "mix-filled")
     copies = F.col("certain") + F.col("picked").cast("long")
     return chosen.select("doc_id", "source", "size", "source_size", "target", "copy_of", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
