@@ -1,5 +1,6 @@
 import random
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
@@ -15,10 +16,15 @@ from .helpers import at, odd
 PARTS = ["a", "a.b", "it's.", "Ab!?*", ")", "é,", "B", "é", "é", "İ", "ΑΣ ", "'s", "it's", "'LL", " ", "  ", "\n", "\t\n", "\x85", "\xa0", "\x1c", "\x01", "x\x01y", "１2", "½", "<|endoftext|>", "</w>", "日本", "🙂", ".", "***", "\r\n", "\x00", "ſ"]
 
 
-def encode(name, text):
+@cache
+def tokenizer(name):
     t = Tokenizer.from_file(tokenizer_path(name))
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return t
+
+
+def encode(name, text):
+    return tokenizer(name).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
