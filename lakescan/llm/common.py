@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: White space of the word contract: space and the bytes 0x09 to 0x0D.
@@ -64,11 +65,10 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def text_slices(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Cut a batch into (from, to) of about that many code points, so that what Python holds for it stays small."""
+def text_slices(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Cut a batch into (from, to) of about that many bytes of text, so that what Python holds for it stays small."""
     begin = total = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
         if i > begin and total + n > most:
             yield begin, i
             begin, total = i, 0
@@ -92,10 +92,10 @@ def map_texts(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            texts = batch.column(len(keys)).to_pylist()
+            texts = batch.column(len(keys))
             lists = [batch.column(i) for i in range(len(keys))]
             for a, b in text_slices(texts, most):
-                out = step(texts[a:b], {k: x.slice(a, b - a).to_pylist() for k, x in zip(keys, lists)})
+                out = step(texts.slice(a, b - a).to_pylist(), {k: x.slice(a, b - a).to_pylist() for k, x in zip(keys, lists)})
                 yield pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.select(*(df[k] for k in keys), df[text]).mapInArrow(run, wanted)

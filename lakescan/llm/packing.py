@@ -151,9 +151,9 @@ def pack_documents(
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_slices(texts, 4_000_000):
-                ids, stops = enc.encode(texts[a:b], end)
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in text_slices(texts):
+                ids, stops = enc.encode(texts.slice(a, b - a).to_pylist(), end)
                 bins, begin = [], 0
                 for key, stop in zip(keys[a:b], stops):
                     own = ids[begin:stop].copy()  # not a view: a waiting piece would hold the ids of all

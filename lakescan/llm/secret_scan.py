@@ -127,10 +127,10 @@ def _scan(docs: DataFrame) -> DataFrame:
     def run(batches):
         characters = np.zeros(128, np.int64)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for a, b in text_slices(texts):
                 rows = []
-                for doc_id, text in zip(ids[a:b], texts[a:b]):
+                for doc_id, text in zip(ids[a:b], texts.slice(a, b - a).to_pylist()):
                     base, runs = base_spans(text), []
                     if text:
                         raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)

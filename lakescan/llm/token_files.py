@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts
+from .common import batches_of, map_texts
 from .tokenize import encoder, tokenizer_path
 
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, tokens array<int>"
@@ -41,7 +41,7 @@ def tokens_of(docs: DataFrame, tokenizer: str, kind: str, end: int) -> DataFrame
     """doc_id, part, start_in_part, n_tokens, tokens; a part is a range of doc_id, and parts ascend."""
 
     def make():
-        enc, part, before = encoder(tokenizer, kind), TaskContext.get().partitionId(), 0
+        enc, part, before = encoder(tokenizer, kind, 700_000), TaskContext.get().partitionId(), 0
 
         def step(texts, keys):
             nonlocal before
@@ -55,13 +55,14 @@ def tokens_of(docs: DataFrame, tokenizer: str, kind: str, end: int) -> DataFrame
         return step
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return map_texts(ordered, ["doc_id"], "text", make, SCHEMA, most=4_000_000)
+    return map_texts(ordered, ["doc_id"], "text", make, SCHEMA, most=8_000_000)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, kind: str = "byte", end: int = 0, **sizes: int) -> None:
     """Write the token files of (doc_id, text). tokenizer: a vocabulary file; sizes: see write_options."""
     tokenizer = tokenizer or tokenizer_path("byte_bpe_50k.json")
-    tokens_of(docs, tokenizer, kind, end).write.options(**write_options(**sizes)).parquet(path)
+    with batches_of(docs.sparkSession, 1500):
+        tokens_of(docs, tokenizer, kind, end).write.options(**write_options(**sizes)).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

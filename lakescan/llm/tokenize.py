@@ -38,6 +38,7 @@ BETWEEN = {"word": " \x01 ", "byte": "\n"}
 UNUSUAL = "\0\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Marks that end a word for either pre-tokenizer (an apostrophe may not).
 MARKS = ".,;:!?*$%&#)"
+CONTROLS = UNUSUAL[:5]
 TWO = [a + b for a in " \n" for b in " \n"]
 THREE = [a + b for a in TWO for b in " \n"]
 
@@ -51,7 +52,7 @@ class _Index(dict):
 class PieceEncoder:
     """Encodes lists of texts. It keeps at most ``limit`` pieces beyond those of one call, then starts afresh."""
 
-    def __init__(self, path: str, kind: str, limit: int = 600_000):
+    def __init__(self, path: str, kind: str, limit: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -180,14 +181,16 @@ def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _is_plain(text: str) -> bool:
     """White space is spaces and line ends, nowhere more than two at once: pieces then end before each of them."""
     has = text.__contains__
-    return not (any(map(has, UNUSUAL)) or any(map(has, THREE)) or text[-2:] in TWO)
+    if any(map(has, CONTROLS if text.isascii() else UNUSUAL)):
+        return False
+    return not any(map(has, TWO)) or not (any(map(has, THREE)) or text[-2:] in TWO)
 
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
-def encoder(path: str, kind: str) -> PieceEncoder:
+def encoder(path: str, kind: str, limit: int = 300_000) -> PieceEncoder:
     """The encoder of this Python worker: what it has learnt serves the worker's later tasks too."""
     if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = PieceEncoder(path, kind)
+        _ENCODERS[path, kind] = PieceEncoder(path, kind, limit)
     return _ENCODERS[path, kind]
