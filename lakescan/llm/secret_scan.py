@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with length-aware false-discovery control.
 
 Patterns: see KINDS. Battery, over each run of 20 or more characters that an encoding could have produced (only
-letters of one case, and only digits, are no encoding here): the smallest alphabet that holds the run is its inferred
+letters of one case, and only digits, are no encoding here; a '=' that isn't padding parts runs): the smallest alphabet that holds the run is its inferred
 encoding. A chi-squared test of uniformity over that alphabet, a runs test about its middle and a test of the serial
 correlation of neighbours give three p-values, joined by Fisher's method: the run must be consistent with chance. A
 second p-value is the chance that ordinary characters, at the frequencies of the whole corpus, look as uniform at that
@@ -33,7 +33,7 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
 
-RUN = re.compile("[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile("[A-Za-z0-9+/_-]{20,}(?:=++(?![A-Za-z0-9+/_-]))?")  # '=' parts runs, unless it is padding at the end
 _LONG = re.compile("[A-Za-z0-9+/_.=-]{16,}")
 # The encodings that runs are tried against, the smallest first.
 ALPHABETS = {

@@ -62,6 +62,26 @@ def test_random_runs_are_found_and_ordinary_ones_are_not(spark):
         assert rows[i][1][s.start : s.end] == keys[i - first]
 
 
+def test_values_after_a_name_are_runs_of_their_own(spark):
+    r = random.Random(8)
+    names = ["AWS_SECRET_ACCESS_KEY=", "DB_KEY=", "https://host.example/a?sig=", "X=", "==", "a=b&key="]
+    values = [(n, "".join(r.choices(S.ALPHABETS["base64"], k=60)) + pad) for n in names for pad in ("", "=", "==")]
+    rows = [(i, f"set {n}{v} end", "en", "s", 0) for i, (n, v) in enumerate(values)]
+    plain = [(100 + i, "plain words = and NAME=some_ordinary_value_of_a_setting here " * 5, "en", "s", 0) for i in range(50)]
+    docs = odd(spark, rows + plain)
+    got = {g.doc_id: g.spans for g in S.scan(docs).collect()}
+    hit = [i for i, (_, v) in enumerate(values) if [rows[i][1][s.start : s.end] for s in got[i]] == [v]]
+    assert len(hit) >= 16 and not any(got[x[0]] for x in plain)
+    clean = {x.doc_id: x.text for x in S.redact(docs, "#").collect()}
+    assert all(clean[i] == f"set {values[i][0]}# end" for i in hit)
+
+
+@pytest.mark.parametrize("text", ["AbC1" * 6 + "==x", "AbC1" * 6 + "=" + "dEf2" * 6 + "==", "=" * 30, "short=" * 9])
+def test_runs_are_split_at_inner_signs(text):
+    want = [p for p in re.findall("[A-Za-z0-9+/_-]+", text) if len(p) >= 20]
+    assert [m.group().rstrip("=") for m in S.RUN.finditer(text)] == want
+
+
 @pytest.mark.parametrize(("token", "want"), [("0" * 30, None), ("abcdefghij" * 3, None), ("deadbeef01" * 3, "hex"), ("Ab1" * 10, "base62"), ("A2Z" * 10, "base32"), ("a-b_C1" * 5, "base64url")])
 def test_inferred_encoding(token, want):
     assert S.encoding_of(token) == want
