@@ -5,7 +5,9 @@ again by weight (a water level found in one window over sources). A source's tar
 number of copies of each of its documents: the whole part is certain, the fraction is the inclusion probability of one
 more. Documents are ranked by random odds over inclusion odds, and the first in that order that fill the rest of the
 target are taken. The cut is found by a histogram of the rank, so no source is sorted in one task; only the documents
-of the bin at the cut are. What the cut leaves free is filled, a few times, by the document of the nearest size.
+of the bin at the cut are. What the cut leaves free is filled, a few times, by the document of the nearest size: three
+times in op4, as its SQL has it, which can leave a source far off if the document at the cut is long. Mixed documents
+go on from there down the order until the source is near its target, or no document brings it nearer.
 
 Random numbers come from a hash of the document's id, text size and its place among equal ones: reruns agree.
 Null and empty texts have size 0: they get the certain copies, none counts. Null sources are one source, ordered last.
@@ -21,6 +23,8 @@ from .common import WORD, written
 
 #: Bins of the rank; a bin is what is sorted at once.
 BINS = 1 << 16
+#: A source of the mixed documents is no farther from its target than this part of it, if its documents allow.
+OFF = 0.01
 
 
 def words(text: str | Column) -> Column:
@@ -54,10 +58,11 @@ def uniform(seed: str, *columns: str) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
-def mix(docs: DataFrame, most: float = 3.0, cycle: int = 3, seed: str = "mix", fills: int = 3) -> DataFrame:
+def mix(docs: DataFrame, most: float = 3.0, cycle: int = 3, seed: str = "mix", fills: int = 3, off: float | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copy_of (place among equal rows), copies, taken, of (doc_id, text, source).
 
-    fills: rounds in which the document nearest to what is free is added to each source.
+    fills: rounds in which the document nearest to what is free is added to each source; off: a source that is farther
+    than this part of its target then goes on until it is not, or no document brings it nearer (None: it is left there).
     """
     rows = docs.select(F.col("doc_id"), F.col("source"), words("text").alias("size"))
     units = rows.groupBy("source", "doc_id", "size").agg(F.count("*").alias("equal"))
@@ -74,29 +79,21 @@ def mix(docs: DataFrame, most: float = 3.0, cycle: int = 3, seed: str = "mix", f
     odds = F.when(F.col("probability") > 0, (u / (1 - u)) * ((1 - F.col("probability")) / F.col("probability")))
     each = each.withColumn("rank", odds).withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int"))
 
-    sums = each.where("rank IS NOT NULL").groupBy("source", "bin").agg(F.sum("size").alias("in_bin"))
-    before = F.coalesce(F.sum("in_bin").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = _with(sums.withColumn("before", before), goal, ("extra",)).where("before <= extra AND before + in_bin > extra")
-    cut = cut.select("source", F.col("bin").alias("cut_bin"), F.col("before").alias("before_cut"))
-    each = _with(each, cut, ("cut_bin", "before_cut"))
-    # Without a cut the extra words are all there are, or none.
-    sure = F.when(F.col("rank").isNull(), False).when(F.col("cut_bin").isNull(), F.col("extra") > 0).otherwise(F.col("bin") < F.col("cut_bin"))
-    at_cut = F.coalesce(F.col("bin") == F.col("cut_bin"), F.lit(False))
-    in_order = Window.partitionBy("source").orderBy("rank", "doc_id", "size", "copy_of").rowsBetween(Window.unboundedPreceding, 0)
-    there = each.where(at_cut).withColumn("picked", F.col("before_cut") + F.sum("size").over(in_order) <= F.col("extra"))
-    each = written(each.where(~at_cut).withColumn("picked", sure).unionByName(there), "mix-picked")
+    each = _take(each, goal, F.col("rank").isNotNull())
 
     chosen = each
     for i in range(fills):  # written each time: a plan that reads the last one thrice would grow threefold a round
         chosen = written(_fill(chosen, goal, over=i > 0), "mix-filled")
+    if off is not None:
+        chosen = _closer(chosen, goal, off)
     copies = F.col("certain") + F.col("picked").cast("long")
     return chosen.select("doc_id", "source", "size", "source_size", "target", "copy_of", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, off: float | None = OFF, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; rows with equal id, source and size in the order of text."""
     key = ("source", "doc_id", "size")
-    found = mix(docs, **options).groupBy(*key)
+    found = mix(docs, off=off, **options).groupBy(*key)
     copies = found.agg(F.max("copy_of").alias("_last"), F.array_sort(F.collect_list(F.struct("copy_of", "copies"))).alias("_copies"))
     other = copies.select(*(F.col(c).alias(f"_{c}") for c in key), "_last", "_copies")
     sized = docs.withColumn("_words", words("text"))
@@ -116,16 +113,60 @@ def _with(df: DataFrame, few: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return df.join(other, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
 
 
-def _fill(each: DataFrame, goal: DataFrame, over: bool) -> DataFrame:
+def _take(each: DataFrame, goal: DataFrame, among: Column) -> DataFrame:
+    """Set ``picked`` of the documents ``among`` to whether they are of the first by ``rank`` that fit in ``extra``."""
+    each = each.withColumn("among", F.coalesce(among, F.lit(False)))
+    sums = each.where("among").groupBy("source", "bin").agg(F.sum("size").alias("in_bin"))
+    before = F.coalesce(F.sum("in_bin").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = _with(sums.withColumn("before", before), goal, ("extra",)).where("before <= extra AND before + in_bin > extra")
+    cut = cut.select("source", F.col("bin").alias("cut_bin"), F.col("before").alias("before_cut"))
+    each = _with(each, cut, ("cut_bin", "before_cut"))
+    # Without a cut the extra words are all there are, or none.
+    sure = F.when(~F.col("among"), False).when(F.col("cut_bin").isNull(), F.col("extra") > 0).otherwise(F.col("bin") < F.col("cut_bin"))
+    at_cut = F.coalesce(F.col("among") & (F.col("bin") == F.col("cut_bin")), F.lit(False))
+    in_order = Window.partitionBy("source").orderBy("rank", "doc_id", "size", "copy_of").rowsBetween(Window.unboundedPreceding, 0)
+    there = each.where(at_cut).withColumn("picked", F.col("before_cut") + F.sum("size").over(in_order) <= F.col("extra"))
+    return written(each.where(~at_cut).withColumn("picked", sure).unionByName(there).drop("among", "cut_bin", "before_cut"), "mix-picked")
+
+
+def _closer(chosen: DataFrame, goal: DataFrame, off: float) -> DataFrame:
+    """Sources farther than ``off`` of their target go on down the order (up it if they have too much), past documents
+    that do not fit, and then by single documents of the nearest size. Each round brings a source nearer, so it ends."""
+    columns = chosen.columns
+    while True:
+        sums = chosen.groupBy("source").agg(F.sum(F.when(F.col("picked"), F.col("size")).otherwise(0)).alias("got"))
+        free = _with(goal.select("source", "target", "extra"), sums, ("got",)).withColumn("free", F.floor(F.col("extra") - F.col("got")))
+        free = free.where(F.abs(F.col("extra") - F.col("got")) > off * F.col("target")).select("source", "free", F.abs("free").alias("room"))
+        free = written(free.coalesce(1), "mix-free")
+        other = F.col("rank").isNotNull() & (F.col("size") > 0) & (F.col("picked") == (F.col("free") < 0))
+        near = _with(chosen, free, ("free", "room")).where(other & (F.col("size") < 2 * F.col("room")))
+        fit = near.groupBy("source").agg(F.max(F.col("size") <= F.col("room")).alias("fit"), F.lit(1).alias("_open")).collect()
+        if not fit:
+            return chosen
+        if any(r.fit for r in fit):
+            back = F.col("free") < 0
+            turned = _with(chosen, free, ("free", "room")).withColumns({"old": F.col("picked"), "_rank": F.col("rank"), "_bin": F.col("bin")})
+            turned = turned.withColumns({"rank": F.when(back, -F.col("rank")).otherwise(F.col("rank")), "bin": F.when(back, -F.col("bin")).otherwise(F.col("bin"))})
+            more = _take(turned.drop("extra").withColumn("extra", F.coalesce("room", F.lit(0))), free.select("source", F.col("room").alias("extra")), other & (F.col("size") <= F.col("room")))
+            extra = _with(more.drop("extra"), goal, ("extra",))
+            chosen = written(extra.withColumns({"picked": F.col("old") != F.col("picked"), "rank": F.col("_rank"), "bin": F.col("_bin")}).select(*columns), "mix-closer")
+        else:
+            only = _with(chosen, free.select("source", F.lit(True).alias("far")), ("far",))
+            filled = _fill(only, goal, over=True, among=F.coalesce(F.col("far"), F.lit(False)))
+            chosen = written(filled.select(*columns), "mix-closer")
+
+
+def _fill(each: DataFrame, goal: DataFrame, over: bool, among: Column | None = None) -> DataFrame:
     """Take one more document of each source: the one whose size is nearest to what is free.
 
-    over: it may be larger, if that still brings the source nearer to its target.
+    over: it may be larger, if that still brings the source nearer to its target; among: of which documents.
     """
     sums = each.groupBy("source").agg(F.sum(F.when(F.col("picked"), F.col("size")).otherwise(0)).alias("got"))
     free = _with(goal.select("source", "extra"), sums, ("got",)).select("source", F.floor(F.col("extra") - F.col("got")).alias("free"))
     open_ = _with(each, free, ("free",))
     fits = F.col("rank").isNotNull() & (F.col("size") > 0) & (F.col("picked") == (F.col("free") < 0))
     fits = fits & (F.col("size") < 2 * F.abs("free") if over else F.col("size") <= F.col("free"))
+    fits = fits if among is None else fits & among
     order = F.struct((-F.abs(F.abs("free") - F.col("size"))).alias("near"), F.col("size"), (-F.col("rank")).alias("r"), F.col("doc_id"), F.col("copy_of"))
     best = open_.where(fits).groupBy("source").agg(F.max(order).alias("best"))
     marked = _with(open_, best, ("best",))

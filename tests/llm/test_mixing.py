@@ -3,7 +3,7 @@ import re
 import duckdb
 import pytest
 
-from lakescan.llm.mixing import mix, targets
+from lakescan.llm.mixing import mix, mixed_documents, targets, words
 from lakescan.llm.queries import ORACLE_SQL, op4_mixing
 
 from .helpers import ODD, at, odd
@@ -41,6 +41,18 @@ def test_taken_comes_near_targets(spark):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 0.02 * own[0].target
 
 
+@pytest.mark.parametrize(("n", "short", "long"), [(200, 300, 60_000), (500, 400, 20_000)])
+def test_a_long_document_at_the_cut_is_passed_by(spark, n, short, long):
+    rows = [(i, "w " * (long if i == 0 else short), "en", "a", 0) for i in range(n + 1)] + [(1000, "w " * ((n * short + long) // 2), "en", "b", 0)]  # half of a's words are its target
+    docs = odd(spark, rows).drop("size")
+    for seed in ("1", "2", "3"):
+        goal = {r.source: r.target for r in mix(docs, seed=seed).select("source", "target").distinct().collect()}
+        taken = {}
+        for r in mixed_documents(docs, seed=seed).select("source", words("text").alias("n")).collect():
+            taken[r.source] = taken.get(r.source, 0) + r.n
+        assert abs(taken["a"] - goal["a"]) <= 0.01 * goal["a"]
+
+
 def plain_targets(sizes, most=3.0):
     """Shares by weight; caps; the excess again by weight until none is above."""
     names = sorted(sizes, key=lambda s: (s is None, s))
