@@ -4,7 +4,8 @@ A page is read once, tag by tag; what opens and closes is kept as a tree of numb
 know their innermost block element. Paragraph blocks pass points for length and commas, less their share of link text,
 to their ancestors: all to the container, a half to the next, ever less above. The container with the most points,
 discounted by its own link density, is the main one; siblings with enough points are kept with it.
-Elements that hold no article text by kind, role or name, and lists that are mostly links, are left out before.
+Elements that hold no article text by kind or role, and lists that are mostly links, are left out before. So are those
+with such a name (class or id), unless they hold the article or most of the page: see _by_name.
 
 Null and empty pages give an empty text. Unclosed, stray and misnested tags are closed as browsers do. Repeated rows
 and ids are each extracted. Extra columns are not read. An empty table gives no rows.
@@ -27,6 +28,7 @@ _TAG = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_NAMES_IN = re.compile(r"class|id", re.I)
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Element names by what they do to text.
@@ -39,6 +41,10 @@ INLINE = frozenset(
 PARAGRAPHS = frozenset("p li pre blockquote td th dd dt figcaption caption summary address h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER_BY_NAME = frozenset("html body article main".split())
+#: What an element by name is not dropped for.
+HOLDERS = frozenset(("article", "main"))
+#: What its score is multiplied by if it holds none of them, but most of the page.
+LESS = 0.75
 #: What closes an open element of its kind, up to which ancestors.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -64,6 +70,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 class _Page:
     def __init__(self):
         self.tags, self.parents, self.dropped = ["#root"], [-1], [False]
+        self.named: list[int] = []  # block elements that their name speaks against, outer before inner
+        self.clean: set[int] = set()  # article and main elements that their name does not speak against
         self.stack, self.links = [0], 0
         self.blocks: list[tuple[int, str, int]] = []  # innermost block element, text, characters of it in links
         self.text: list[str] = []
@@ -120,6 +128,14 @@ class _Page:
         self.tags.append(tag)
         self.parents.append(parent)
         self.dropped.append(self.dropped[parent] or self.drops(tag, rest))
+        if tag in HOLDERS or (tag not in NEVER_BY_NAME and not self.dropped[-1]):
+            if _NAMES_IN.search(rest) and self.by_name(rest):
+                if tag in INLINE:
+                    self.dropped[-1] = True
+                elif tag not in HOLDERS:
+                    self.named.append(len(self.tags) - 1)
+            elif tag in HOLDERS:
+                self.clean.add(len(self.tags) - 1)
         self.stack.append(len(self.tags) - 1)
         self.links += tag == "a"
         self.count[tag] += 1
@@ -136,8 +152,10 @@ class _Page:
             return True
         if tag in NEVER_BY_NAME:
             return False
-        if own.get("role", "").lower() in ROLES:
-            return True
+        return own.get("role", "").lower() in ROLES
+
+    def by_name(self, rest: str) -> bool:
+        own = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(rest)}
         names = {x.lower() for k in ("class", "id") for x in _NAME_PART.findall(own.get(k, ""))}
         return bool(names & NAMES)
 
@@ -176,6 +194,52 @@ class _Page:
         self.flush()
 
 
+def _points(text: str, links: int) -> float:
+    return ((len(text) >= 25) + text.count(",") + min(len(text) / 100, 3)) * (1 - links / max(len(text), 1))
+
+
+def _by_name(p: _Page) -> tuple[set[int], set[int]]:
+    """(elements to leave out for their name, others with such a name that hold most of the page, but no article).
+
+    An element stays if an article or main in it has more points than any around or beside it that is in no such element
+    but those around both; or, if there is none with points, if it holds more than half of all points of the page.
+    If nothing is outside of such elements and none stays, the one with most points does.
+    """
+    if not p.named:
+        return set(), set()
+    named, total, outside = set(p.named), 0.0, 0.0
+    inside, own = defaultdict(float), defaultdict(float)  # points: of named elements; of clean ones, less named ones in them
+    for owner, text, links in p.blocks:
+        if p.tags[owner] in HEADINGS:
+            continue
+        points, within = _points(text, links), False
+        total += points
+        for n in _above(p.parents, owner):
+            if n in named:
+                inside[n] += points
+                within = True
+            elif n in p.clean and not within:
+                own[n] += points
+        outside += 0 if within else points
+    held, at = defaultdict(float), defaultdict(float)  # most points of a clean element: in a named one; directly in it (0: in none)
+    for c, points in own.items():
+        over = [n for n in _above(p.parents, c) if n in named]
+        for n in over:
+            held[n] = max(held[n], points)
+        first = over[0] if over else 0
+        at[first] = max(at[first], points)
+    rival: dict[int, float] = {0: 0.0}
+    stays = set()
+    for n in p.named:
+        up = next((k for k in _above(p.parents, p.parents[n]) if k in named), 0)
+        rival[n] = max(rival[up], at[up])
+        if held[n] > rival[n] or (not rival[n] and 2 * inside[n] > total):
+            stays.add(n)
+    if not outside and not stays and inside:
+        stays = {max(inside, key=lambda n: (inside[n], -n))}
+    return named - stays, {n for n in stays if not held[n]}
+
+
 def blocks_of(page: str | None) -> list[str]:
     """The article's blocks in page order."""
     if not page:
@@ -183,6 +247,9 @@ def blocks_of(page: str | None) -> list[str]:
     p = _Page()
     p.read(page)
     tags, parents = p.tags, p.parents
+    left_out, less = _by_name(p)
+    if left_out:
+        p.blocks = [x for x in p.blocks if not any(n in left_out for n in _above(parents, x[0]))]
     sizes, linked = defaultdict(int), defaultdict(int)
     for owner, text, links in p.blocks:
         n = owner
@@ -203,8 +270,7 @@ def blocks_of(page: str | None) -> list[str]:
     for owner, text, links in blocks:
         if tags[owner] in HEADINGS:
             continue
-        points = (len(text) >= 25) + text.count(",") + min(len(text) / 100, 3)
-        points *= 1 - links / max(len(text), 1)
+        points = _points(text, links)
         n, level = (parents[owner] if tags[owner] in PARAGRAPHS else owner), 0
         while n > 0:
             score[n] += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
@@ -212,6 +278,8 @@ def blocks_of(page: str | None) -> list[str]:
     if not score:
         return [t for _, t, links in blocks if 2 * links <= len(t)]
     final = {n: s * (1 - linked[n] / max(sizes[n], 1)) for n, s in score.items()}
+    for n in less & final.keys():
+        final[n] *= LESS
     best = max(final, key=lambda n: (final[n], n))
     for n in _above(parents, parents[best]):  # the article that it is most of holds its headings too
         if tags[n] in ("article", "main") and 2 * sizes[best] >= sizes[n]:

@@ -61,6 +61,28 @@ def test_broken_pages(page):
     assert main_text(f"{page or ''}") == main_text(page)
 
 
+WRAPPERS = ['class="container has-sidebar"', "class=no-sidebar", 'class="layout-with-nav"', 'class="post promoted"', 'class="search-result"', 'id="page-with-comments"']
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+def test_names_of_wrappers_do_not_drop_the_article(name):
+    p = f"<p>{LONG}</p>"
+    extra = f"<div class=sidebar>{p}</div><div class='ad'>{p}</div><section id=comments>{p}</section>"
+    want = ["H", LONG, LONG, LONG]
+    assert blocks_of(f"<body><div {name}><article><h1>H</h1>{p * 3}<div class=ad>{p}</div></article>{extra}</div></body>") == want
+    assert blocks_of(f"<body><div {name}><main><h1>H</h1>{p * 3}</main></div>{extra}</body>") == want
+    assert blocks_of(f"<body><div {name}><h1>H</h1>{p * 3}</div></body>") == want
+    assert blocks_of(f"<body><div {name}><div><h1>H</h1>{p * 5}</div></div>{extra}</body>") == ["H"] + [LONG] * 5
+
+
+def test_long_comments_beside_an_article_are_left_out():
+    p = f"<p>{LONG}</p>"
+    assert blocks_of(f"<body><article><h1>H</h1>{p * 2}</article><section id=comments>{p * 30}</section></body>") == ["H", LONG, LONG]
+    assert blocks_of(f"<body><article><h1>H</h1>{p * 2}</article><div id=comments>{f'<article class=comment>{p}</article>' * 30}</div></body>") == ["H", LONG, LONG]
+    assert blocks_of(f"<body><article><h1>H</h1>{p * 2}</article><div id=comments>{f'<article>{p}</article>' * 30}</div></body>") == ["H", LONG, LONG]
+    assert blocks_of(f"<body><div class=has-sidebar><article><h1>H</h1>{p * 2}</article><div id=comments>{p * 30}</div></div></body>") == ["H", LONG, LONG]
+
+
 def test_plain_text_and_entities():
     assert main_text("just &eacute; text\n\twith   space") == "just é text with space"
 
