@@ -90,8 +90,7 @@ def nullable_column(spark, sf):
 
 @query("SELECT c_acctbal FROM customer")
 def dynamic_column(spark, sf):
-    f = ParquetFile(spark, FT.files_of(spark, f"{sf}/customer.parquet")[0])
-    return f.dynamic(f.find("c_acctbal").column)
+    return scan(spark, f"{sf}/customer.parquet", physical=True).select("c_acctbal")  # ParquetFile.dynamic is of one file
 
 
 @query("SELECT vec_id, len(embedding) AS n, embedding[1] AS first, embedding[len(embedding)] AS last FROM embeddings")

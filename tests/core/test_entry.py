@@ -32,6 +32,13 @@ def test_query_equals_sql(spark, small, duck, name):
     assert ordered(got.columns, got.collect()) == ordered(want.columns, want.fetchall())
 
 
+def test_dynamic_column_reads_every_file_of_a_folder(spark, small, tmp_path):
+    whole = spark.read.parquet(f"{small}/customer.parquet")
+    whole.repartition(3).write.parquet(f"{tmp_path}/customer.parquet")
+    got = Q.dynamic_column(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == sorted((r.c_acctbal,) for r in whole.select("c_acctbal").collect())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
