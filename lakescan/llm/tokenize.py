@@ -2,6 +2,8 @@
 
 A piece is a stretch that the vocabulary's own pre-tokenizer never joins to its neighbours, so the ids of a text are
 the ids of its pieces in order. Pieces repeat far more often than texts: each is encoded once and then looked up.
+Strings of added tokens (an end-of-text mark, say) get their own ids wherever they stand in a text, as the library gives
+them; what is between two of them is encoded as a text of its own.
 """
 
 from __future__ import annotations
@@ -57,7 +59,15 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = {content: i for content, (i, _) in added.items()}
+        # The longest of those that begin at the leftmost place.
+        self.split = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+        normal = self.tokenizer.normalizer is not None
+        #: Added tokens that are more than their string (matched in normalized text, or with what is around).
+        self.whole = any(t.lstrip or t.rstrip or t.single_word or (t.normalized and normal) for _, t in added.values())
+        self.own = Tokenizer.from_file(path) if self.whole else None
+        self.tokenizer.encode_special_tokens = True  # pieces never hold the strings, but in lower case they may seem to
         self.kind, self.find, self.limit, self.between = kind, PIECES[kind].findall, limit, BETWEEN[kind]
         (self.mark,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
         self._clear()
@@ -134,9 +144,31 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end``; where each text's ids stop). None counts as empty."""
+        texts = [t or "" for t in texts]
+        if self.whole:
+            lists = [self.own.encode(t, add_special_tokens=False).ids + [end] for t in texts]
+            return np.array([i for x in lists for i in x], np.uint32), np.cumsum([len(x) for x in lists])
+        if not any(content in t for content in self.added for t in texts):
+            return self._encode(texts, end)
+        parts, after, last = [], [], []
+        for t in texts:
+            at = 0
+            for m in self.split.finditer(t):
+                parts.append(t[at : m.start()])
+                after.append(self.added[m.group()])
+                at = m.end()
+            parts.append(t[at:])
+            after.append(end)
+            last.append(len(parts) - 1)
+        ids, stops = self._encode(parts, end)
+        ids[stops - 1] = after
+        return ids, stops[last]
+
+    def _encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without added tokens."""
         if len(self.index) > self.limit:
             self._forget()
-        codes, counts = self._codes([t or "" for t in texts])
+        codes, counts = self._codes(texts)
         self._learn()
         self.used = np.concatenate([self.used, np.zeros(len(self.index) - len(self.used), np.int64)]) + np.bincount(codes, minlength=len(self.index))
         sizes = self.sizes[codes]

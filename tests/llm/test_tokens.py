@@ -13,14 +13,12 @@ from lakescan.llm.tokenize import PieceEncoder, tokenizer_path
 
 from .helpers import at, odd
 
-PARTS = ["a", "a.b", "it's.", "Ab!?*", ")", "é,", "B", "é", "é", "İ", "ΑΣ ", "'s", "it's", "'LL", " ", "  ", "\n", "\t\n", "\x85", "\xa0", "\x1c", "\x01", "x\x01y", "１2", "½", "<|endoftext|>", "</w>", "日本", "🙂", ".", "***", "\r\n", "\x00", "ſ"]
+PARTS = ["a", "a.b", "it's.", "Ab!?*", ")", "é,", "B", "é", "é", "İ", "ΑΣ ", "'s", "it's", "'LL", " ", "  ", "\n", "\t\n", "\x85", "\xa0", "\x1c", "\x01", "x\x01y", "１2", "½", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|endoftext", "|>", "</w>", "日本", "🙂", ".", "***", "\r\n", "\x00", "ſ"]
 
 
 @cache
 def tokenizer(name):
-    t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path(name))
 
 
 def encode(name, text):
@@ -31,8 +29,7 @@ def encode(name, text):
 def test_pieces_give_the_ids_of_whole_texts(name, kind):
     r = random.Random(1)
     texts = ["".join(r.choices(PARTS, k=r.randint(0, 30))) for _ in range(2000)] + [None]
-    t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
+    t = tokenizer(name)
     enc = PieceEncoder(tokenizer_path(name), kind, limit=500)
     for a in range(0, len(texts), 300):
         ids, stops = enc.encode(texts[a : a + 300], 7)
@@ -40,6 +37,20 @@ def test_pieces_give_the_ids_of_whole_texts(name, kind):
             assert own.tolist() == t.encode(text or "", add_special_tokens=False).ids + [7]
 
 
+def test_added_tokens_with_rules_of_their_own(tmp_path):
+    """Added tokens that take white space with them, or are matched in normalized text: whole texts go to the library."""
+    from tokenizers import AddedToken
+
+    for k, token in enumerate((AddedToken("<s>", lstrip=True), AddedToken("<S>", normalized=True, special=False))):
+        t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+        t.add_tokens([token])
+        t.save(f"{tmp_path}/{k}.json")
+        texts = ["a  <s> b", "a <S>b <s>", None, "", "c"]
+        ids, stops = PieceEncoder(f"{tmp_path}/{k}.json", "word").encode(texts, 7)
+        for text, own in zip(texts, np.split(ids, stops[:-1])):
+            assert own.tolist() == t.encode(text or "", add_special_tokens=False).ids + [7]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
