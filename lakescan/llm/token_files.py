@@ -15,16 +15,20 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of, map_texts
+from .common import batches_of, map_texts, written
 from .tokenize import encoder, tokenizer_path
 
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, tokens array<int>"
 
 
+#: So many parts (12 bytes each) are sent to all tasks; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+
+
 def write_options(row_group_bytes: int = 32 << 20, page_rows: int = 2000) -> dict[str, str]:
     plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "part", "start_in_part", "n_tokens")}
     return plain | {
@@ -68,14 +72,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, kind:
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The files' rows with ``start``, the number of ids of all documents before. Unused columns are not read."""
     files = spark.read.schema(SCHEMA).parquet(path)
-    # One row a part, and a part is a write task: the broadcast side is bounded by the number of those.
+    # A row for each write task, so one task can add them up; broadcast only if there are few of them.
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
-    first = totals.agg(F.array_sort(F.collect_list(F.struct("part", "in_part"))).alias("parts")).select(
-        F.explode(
-            F.expr("transform(parts, (x, i) -> struct(x.part AS part, aggregate(slice(parts, 1, i), 0L, (s, y) -> s + y.in_part) AS base))")
-        ).alias("x")
-    )
-    return files.join(F.broadcast(first.select("x.*")), "part").withColumn("start", F.col("base") + F.col("start_in_part"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = written(totals.select("part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("base")), "token-parts")
+    few = base.count() <= MOST_BROADCAST
+    return files.join(F.broadcast(base) if few else base, "part").withColumn("start", F.col("base") + F.col("start_in_part"))
 
 
 def token_digests(rows: DataFrame) -> DataFrame:
