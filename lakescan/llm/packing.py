@@ -1,15 +1,20 @@
 """Packing token sequences as vector bin packing: tokens, segments and loss-bearing tokens at once.
 
 An open sequence has a vector of what is left of each limit; of the waiting pieces that fit, the one with the largest
-dot product of its own vector (as shares of the limits) with that rest goes in next. When none fits whole, the piece
-with most tokens is cut to close the gap. Each task packs the documents of its own partition in a bounded window, so
-nothing is shuffled, no group is gathered and a task that runs again gives the same sequences.
+dot product of its own vector (as shares of the limits) with that rest goes in next. When none fits whole, or the
+segments left would not fill the sequence with such, the one whose beginning has the largest dot product is cut. Each task packs the documents of its own partition in a bounded window, so nothing is
+shuffled, no group is gathered and a task that runs again gives the same sequences.
 
-A sequence is 2048 tokens or, for what is left at the end of a task, a descending power of two: no padding is needed
-unless the limit on segments or loss tokens closed a sequence early.
+A sequence is 2048 tokens or a smaller power of two: what the limit on segments or loss tokens keeps from being filled,
+and what is left at the end of a task, is cut at one, and the rest goes on waiting. So nothing is padded.
+
+Which tokens bear loss: all but the first ``context`` part of each document (an eighth: what the rest is read in the
+light of), if no column of numbers of loss-free leading tokens is named. At most 15/16 of a sequence bear loss, so that
+the inside of a long document has to share its sequences with the beginnings of others.
 
 Null and empty texts give the end id alone, as one piece. Repeated rows and ids are packed each for itself (their pieces
-have the same doc_id). Extra columns are not read. An empty table gives no pieces.
+have the same doc_id). A null or negative number of loss-free tokens counts as 0. Extra columns are not read. An empty
+table gives no pieces.
 """
 
 from __future__ import annotations
@@ -30,16 +35,30 @@ from .tokenize import encoder, tokenizer_path
 
 @dataclass
 class Piece:
-    """``length`` tokens of document ``key`` from ``start``; ``loss``: running sums of loss-bearing flags, from 0."""
+    """``length`` tokens of document ``key`` from ``start``. Loss is borne by all but the document's first ``free``
+    tokens, or as ``loss`` has it: running sums of the document's flags, from 0."""
 
     key: object
     start: int
     length: int
     loss: np.ndarray | None = None
+    free: int = 0
 
     def loss_tokens(self, length: int | None = None) -> int:
         n = self.length if length is None else length
-        return n if self.loss is None else int(self.loss[self.start + n] - self.loss[self.start])
+        if self.loss is not None:
+            return int(self.loss[self.start + n] - self.loss[self.start])
+        return n - min(max(self.free - self.start, 0), n)
+
+    def upto(self, loss: float) -> int:
+        """The most tokens from the start of the piece with no more loss than that."""
+        if self.loss is not None:
+            return min(self.length, int(np.searchsorted(self.loss[self.start :], self.loss[self.start] + loss, "right")) - 1)
+        return min(self.length, max(self.free - self.start, 0) + int(loss))
+
+    def split(self, n: int) -> tuple[Piece, Piece | None]:
+        rest = Piece(self.key, self.start + n, self.length - n, self.loss, self.free) if n < self.length else None
+        return Piece(self.key, self.start, n, self.loss, self.free), rest
 
 
 @dataclass
@@ -47,21 +66,26 @@ class Packer:
     """Takes pieces, gives closed sequences as lists of (piece, offset); keeps at most ``window`` pieces waiting."""
 
     size: int = 2048
-    segments: int = 1024
-    loss: int = 2048
+    segments: int = 32
+    loss: int = 1920
     window: int = 1024
     cut: bool = True
     waiting: list[Piece] = field(default_factory=list)
 
+    def __post_init__(self):
+        if min(self.size, self.segments, self.loss) < 1:
+            raise ValueError("limits are at least 1")
+        self._flagged = False
+
     def add(self, piece: Piece) -> Iterator[list[tuple[Piece, int]]]:
-        whole = self.cut and self.segments > 0
-        while whole and piece.length >= self.size and piece.loss_tokens(self.size) <= self.loss:
-            head, piece = self._split(piece, self.size)
+        while self.cut and piece.length >= self.size <= self.loss:
+            head, piece = piece.split(self.size)
             yield [(head, 0)]
             if piece is None:
                 return
         if not self.cut and (piece.length > self.size or piece.loss_tokens() > self.loss):
             raise ValueError(f"{piece.key}: longer than a sequence, and cutting is off")
+        self._flagged = self._flagged or piece.loss is not None
         self.waiting.append(piece)
         if len(self.waiting) >= self.window:
             yield from self._pack(self.window // 2)
@@ -69,65 +93,93 @@ class Packer:
     def finish(self) -> Iterator[list[tuple[Piece, int]]]:
         yield from self._pack(0)
 
-    def _split(self, p: Piece, n: int) -> tuple[Piece, Piece | None]:
-        rest = Piece(p.key, p.start + n, p.length - n, p.loss) if n < p.length else None
-        return Piece(p.key, p.start, n, p.loss), rest
-
     def _pack(self, leave: int) -> Iterator[list[tuple[Piece, int]]]:
+        """Close sequences until no more than ``leave`` pieces wait, or what waits fills none."""
         items = self.waiting
         need = np.array([(p.length, 1, p.loss_tokens()) for p in items], float).reshape(-1, 3)
-        alive = np.ones(len(items), bool)
+        limits = np.array([self.size, self.segments, self.loss], float)
+        share, alive = need / limits**2, np.ones(len(items), bool)
         left, tokens = len(items), float(need[:, 0].sum())
-        while left > leave:
-            size = self.size
-            if self.cut and leave == 0 and tokens < size:
-                size = 1 << (int(tokens).bit_length() - 1)
-            elif self.cut and tokens < size:
-                break
-            limits = np.array([size, self.segments, self.loss], float)
-            rest, bin_, share = limits.copy(), [], need / limits**2
+        while left > leave and not (self.cut and leave and tokens < self.size):
+            rest, bin_ = limits.copy(), []
             while left and rest[0] > 0 and rest[1] > 0:
-                fits = alive & (need <= rest).all(axis=1)
-                score = np.where(fits, share @ rest, -1.0)
+                score = np.where((need <= rest).all(axis=1) & alive, share @ rest, -1.0)
                 best = int(score.argmax())
-                at = size - int(rest[0])
-                if score[best] > 0 or fits[best]:
-                    bin_.append((items[best], at))
-                    rest -= need[best]
-                    tokens -= need[best, 0]
+                at = self.size - int(rest[0])
+                n = 0
+                if self.cut and (score[best] < 0 or need[best, 0] * rest[1] < rest[0]):  # or too few segments are left to fill it
+                    other, n = self._to_cut(items, need, alive, rest)
+                if n and (score[best] < 0 or n > need[best, 0]):
+                    piece, items[other] = items[other].split(n)
+                    need[other] = (items[other].length, 1, items[other].loss_tokens())
+                    share[other] = need[other] / limits**2
+                elif score[best] >= 0:
+                    piece = items[best]
                     alive[best] = False
                     left -= 1
-                    continue
-                best = int(np.where(alive, need[:, 0], -1).argmax())
-                n = self._cut_at(items[best], rest) if self.cut else 0
-                if not n:
+                else:
                     break
-                head, items[best] = self._split(items[best], n)
-                need[best] = (items[best].length, 1, items[best].loss_tokens())
-                share[best] = need[best] / limits**2
-                bin_.append((head, at))
-                rest -= (n, 1, head.loss_tokens())
-                tokens -= n
+                bin_.append((piece, at))
+                rest -= (piece.length, 1, piece.loss_tokens())
+            filled = self.size - int(rest[0])
+            if self.cut and filled & (filled - 1):  # the size itself may be no power of two
+                bin_, back = self._closed(bin_, filled) if rest[0] else (bin_, [])
+                if back:
+                    items = items + back
+                    more = np.array([(p.length, 1, p.loss_tokens()) for p in back], float)
+                    need, share = np.concatenate([need, more]), np.concatenate([share, more / limits**2])
+                    alive, left = np.append(alive, np.ones(len(back), bool)), left + len(back)
+            tokens -= sum(p.length for p, _ in bin_)
             yield bin_
         self.waiting = [p for p, a in zip(items, alive) if a]
 
-    def _cut_at(self, p: Piece, rest: np.ndarray) -> int:
-        """The most tokens of p, but not all, that fit in what is left."""
-        n = int(min(rest[0], p.length - 1))
-        if p.loss is None:
-            return min(n, int(rest[2]))
-        return min(n, int(np.searchsorted(p.loss[p.start :], p.loss[p.start] + rest[2], "right")) - 1)
+    def _closed(self, bin_: list[tuple[Piece, int]], filled: int) -> tuple[list[tuple[Piece, int]], list[Piece]]:
+        """The sequence cut at a power of two, and what is behind."""
+        size, kept, back = 1 << (filled.bit_length() - 1), [], []
+        for p, at in bin_:
+            if at + p.length <= size:
+                kept.append((p, at))
+            elif at >= size:
+                back.append(p)
+            else:
+                head, rest = p.split(size - at)
+                kept.append((head, at))
+                back.append(rest)
+        return kept, back
+
+    def _to_cut(self, items: list[Piece], need: np.ndarray, alive: np.ndarray, rest: np.ndarray) -> tuple[int, int]:
+        """The piece whose longest beginning that fits has the largest dot product with what is left, and its length."""
+        free = np.maximum(need[:, 0] - need[:, 2], 0)  # of leading tokens, if there are no flags
+        fit = np.minimum(np.minimum(rest[0], need[:, 0] - 1), free + rest[2])
+        own = fit - np.minimum(free, fit)
+        for i in np.flatnonzero(alive & (need[:, 0] > 1)).tolist() if self._flagged else ():
+            if items[i].loss is not None:
+                fit[i] = min(rest[0], items[i].length - 1, items[i].upto(rest[2]))
+                own[i] = items[i].loss_tokens(int(fit[i]))
+        score = np.where(alive & (fit > 0), fit * rest[0] / self.size**2 + own * rest[2] / self.loss**2, -1.0)
+        best = int(score.argmax())
+        return best, int(fit[best]) if score[best] > 0 else 0
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str | None = None, kind: str = "word", end: int = 1, size: int = 2048, segments: int = 1024, loss: int = 2048, with_ids: bool = True
+    docs: DataFrame,
+    tokenizer: str | None = None,
+    kind: str = "word",
+    end: int = 1,
+    size: int = 2048,
+    segments: int = 32,
+    loss: int = 1920,
+    context: float = 0.125,
+    loss_free: str | None = None,
+    with_ids: bool = True,
 ) -> DataFrame:
     """One row per piece of (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
-    Every token of a document bears loss. sequence_id: the task in the upper bits, the sequence in the lower 33.
+    loss_free: a column with the number of leading tokens of a document that bear no loss (its prompt); without one it is
+    the ``context`` part of them, rounded down. sequence_id: the task in the upper bits, the sequence in the lower 33.
     with_ids=False leaves ids null.
     """
     tokenizer = tokenizer or tokenizer_path("word_bpe_49k.json")
@@ -152,14 +204,17 @@ def pack_documents(
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            heads = batch.column(2).to_pylist() if loss_free else None
             for a, b in text_slices(texts):
                 ids, stops = enc.encode(texts.slice(a, b - a).to_pylist(), end)
                 bins, begin = [], 0
-                for key, stop in zip(keys[a:b], stops):
+                for i, stop in zip(range(a, b), stops):
                     own = ids[begin:stop].copy()  # not a view: a waiting piece would hold the ids of all
-                    bins.extend(packer.add(Piece((key, own), 0, len(own))))
+                    free = max(heads[i] or 0, 0) if heads else int(context * len(own))
+                    bins.extend(packer.add(Piece((keys[i], own), 0, len(own), free=free)))
                     begin = stop
                 yield rows(bins)
         yield rows(packer.finish())
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    heads = [F.col(loss_free).cast("long")] if loss_free else []
+    return docs.select(F.col("doc_id").cast("long"), "text", *heads).mapInArrow(run, SCHEMA)

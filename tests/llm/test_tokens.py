@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from lakescan.llm.packing import Packer, Piece
+from lakescan.llm.packing import Packer, Piece, pack_documents
 from lakescan.llm.queries import op5_packing, op6_token_files
 from lakescan.llm.token_files import read_tokens, write_tokens
 from lakescan.llm.tokenize import PieceEncoder, tokenizer_path
@@ -101,25 +101,48 @@ def check_pieces(rows, docs):
         assert sum(p.length for p in pieces) == copies * len(ids)
         for p in pieces:
             assert p.doc_tokens == len(ids) and p.ids_crc32 == crc(ids[p.start : p.start + p.length])
-    total = padding = 0
+    total, padding, bound = 0, 0, []
     for s in by_sequence.values():
         at_ = 0
         for p in sorted(s, key=lambda r: r.offset):
             assert p.offset == at_
             at_ += p.length
         assert at_ <= 2048
+        loss = [p.length - max(min(p.doc_tokens // 8 - p.start, p.length), 0) for p in s]
+        assert len(s) <= 32 and sum(loss) <= 1920
+        bound.append((len(s) == 32, sum(loss) == 1920))
         total += at_
         padding += 0 if at_ & (at_ - 1) == 0 else 2048 - at_
-    return total, padding
+    return total, padding, [sum(x) for x in zip(*bound)]
 
 
 def test_packing_places_every_token_once(spark, small, tmp_path):
     for d in (small, at(spark, tmp_path, documents=odd(spark))):
         docs = spark.read.parquet(f"{d}/documents.parquet").collect()
-        total, padding = check_pieces(op5_packing(spark, d).collect(), docs)
+        total, padding, _ = check_pieces(op5_packing(spark, d).collect(), docs)
         assert padding == 0 and total > 0
 
 
+def test_all_three_limits_bind_in_the_query(spark, small, tmp_path):
+    """Empty documents reach the limit on segments, the insides of long ones that on loss-bearing tokens."""
+    short = spark.range(3000).selectExpr("id + 100000 AS doc_id", "'' AS text")
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").union(short).coalesce(1)
+    d = at(spark, tmp_path, documents=docs)
+    total, padding, bound = check_pieces(op5_packing(spark, d).collect(), docs.collect())
+    assert padding == 0 and min(bound) > 0
+
+
+def test_loss_free_tokens_from_a_column(spark):
+    rows = [(i, "word " * 300, n) for i, n in enumerate([0, None, -5, 100, 301, 9999] * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, prompt int").coalesce(1)
+    got = pack_documents(docs, size=256, segments=4, loss=64, loss_free="prompt").collect()
+    loss, tokens, free = {}, {}, {i: max(n or 0, 0) for i, _, n in rows}
+    for p in got:
+        own = p.length - max(min(free[p.doc_id] - p.start, p.length), 0)
+        loss[p.sequence_id], tokens[p.doc_id] = loss.get(p.sequence_id, 0) + own, tokens.get(p.doc_id, 0) + p.length
+    assert set(tokens.values()) == {301} and max(loss.values()) == 64
+
+
 def test_limits_hold_together():
     r = np.random.default_rng(0)
     packer, got, given = Packer(size=100, segments=5, loss=40, window=50), [], []
