@@ -2,8 +2,10 @@
 
 A page is read once, tag by tag; what opens and closes is kept as a tree of numbered elements, and text as blocks that
 know their innermost block element. Paragraph blocks pass points for length and commas, less their share of link text,
-to their ancestors: all to the container, a half to the next, ever less above. The container with the most points,
-discounted by its own link density, is the main one; siblings with enough points are kept with it.
+to their ancestors: all to the container, a half to the next, and half of that to each one above. The container with the
+most points, discounted by its own link density, is the main one (of equal ones the innermost, last one); siblings with
+enough points are kept with it. Points and sizes are summed once over the tree, from its leaves up, and the stack of open
+elements is looked up by name, so that the work grows with a page's length, however deep it is nested.
 Elements that hold no article text by kind or role, and lists that are mostly links, are left out before. So are those
 with such a name (class or id), unless they hold the article or most of the page: see _by_name.
 
@@ -27,6 +29,7 @@ _TAG = re.compile(
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)>",
     re.S,
 )
+_OPEN_END = re.compile(r"<!--.*|<!\[CDATA\[.*", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAMES_IN = re.compile(r"class|id", re.I)
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -39,6 +42,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output picture progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
 )
 PARAGRAPHS = frozenset("p li pre blockquote td th dd dt figcaption caption summary address h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol dl table".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER_BY_NAME = frozenset("html body article main".split())
 #: What an element by name is not dropped for.
@@ -76,10 +80,11 @@ class _Page:
         self.blocks: list[tuple[int, str, int]] = []  # innermost block element, text, characters of it in links
         self.text: list[str] = []
         self.linked = 0
-        self.count: dict[str, int] = defaultdict(int)  # open elements by name
+        self.depths: dict[str, list[int]] = defaultdict(list)  # places of open elements in the stack, by name
+        self.of_blocks = [0]  # those of block elements
 
     def block_of(self) -> int:
-        return next(n for n in reversed(self.stack) if self.tags[n] not in INLINE)
+        return self.stack[self.of_blocks[-1]]
 
     def flush(self) -> None:
         if self.text:
@@ -97,23 +102,24 @@ class _Page:
 
     def pop_to(self, depth: int) -> None:
         """Close the elements from that place of the stack on."""
-        if any(self.tags[n] not in INLINE for n in self.stack[depth:]):
+        if self.of_blocks[-1] >= depth:
             self.flush()
         for n in self.stack[depth:]:
-            self.count[self.tags[n]] -= 1
+            self.depths[self.tags[n]].pop()
             self.links -= self.tags[n] == "a"
+        while self.of_blocks[-1] >= depth:
+            self.of_blocks.pop()
         del self.stack[depth:]
 
+    def innermost(self, names) -> int:
+        return max((d[-1] for x in names if (d := self.depths.get(x))), default=0)
+
     def find(self, names, scope, inline: bool = False) -> int | None:
         """The innermost open element with one of the names, up to the scope; inline: not across block elements."""
-        if not any(self.count[x] for x in names):
+        depth = self.innermost(names)
+        if not depth or self.innermost(scope) > depth or (inline and self.of_blocks[-1] > depth):
             return None
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if (tag := self.tags[self.stack[depth]]) in names:
-                return depth
-            if tag in scope or (inline and tag not in INLINE):
-                return None
-        return None
+        return depth
 
     def open(self, tag: str, rest: str) -> None:
         if tag in CLOSES and (depth := self.find(*CLOSES[tag])) is not None:
@@ -136,15 +142,17 @@ class _Page:
                     self.named.append(len(self.tags) - 1)
             elif tag in HOLDERS:
                 self.clean.add(len(self.tags) - 1)
+        self.depths[tag].append(len(self.stack))
+        if tag not in INLINE:
+            self.of_blocks.append(len(self.stack))
         self.stack.append(len(self.tags) - 1)
         self.links += tag == "a"
-        self.count[tag] += 1
 
     def drops(self, tag: str, rest: str) -> bool:
         if tag in DROPPED:
             return True
         if tag == "header":  # of an article, headings are part of the text
-            return not any(self.tags[n] in ("article", "main") for n in self.stack)
+            return not any(self.depths.get(x) for x in HOLDERS)
         if not rest.strip(" /"):
             return self.tags[self.stack[-1]] == "header" and tag not in HEADINGS and tag not in INLINE and tag not in ("div", "hgroup")
         own = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(rest)}
@@ -164,17 +172,17 @@ class _Page:
             self.pop_to(depth)
 
     def read(self, page: str) -> None:
-        at, size = 0, len(page)
+        at, size, last = 0, len(page), page.rfind(">")
         while at < size:
-            m = _TAG.search(page, at)
+            m = _TAG.search(page, at) if at <= last else _OPEN_END.search(page, at)  # no tag ends behind the last >
             if m is None:
                 self.say(page[at:])
                 break
             if m.start() > at:
                 self.say(page[at : m.start()])
             at = m.end()
-            name = m["name"] or m["name2"]
-            if name is None:
+            name = m.re is _TAG and (m["name"] or m["name2"])
+            if not name:
                 if m.group().startswith("<![CDATA["):
                     self.say(m.group()[9:].removesuffix("]]>"))
                 continue
@@ -198,6 +206,24 @@ def _points(text: str, links: int) -> float:
     return ((len(text) >= 25) + text.count(",") + min(len(text) / 100, 3)) * (1 - links / max(len(text), 1))
 
 
+def _summed(parents: list[int], own: dict[int, float]) -> list[float]:
+    """For each element the sum over itself and all below; parents come before their children."""
+    out = [0.0] * len(parents)
+    for n, x in own.items():
+        out[n] = x
+    for n in range(len(parents) - 1, 0, -1):
+        out[parents[n]] += out[n]
+    return out
+
+
+def _under(parents: list[int], some: set[int]) -> list[bool]:
+    """Whether an element is one of them or below one."""
+    out = [False] * len(parents)
+    for n in range(1, len(parents)):
+        out[n] = out[parents[n]] or n in some
+    return out
+
+
 def _by_name(p: _Page) -> tuple[set[int], set[int]]:
     """(elements to leave out for their name, others with such a name that hold most of the page, but no article).
 
@@ -207,96 +233,92 @@ def _by_name(p: _Page) -> tuple[set[int], set[int]]:
     """
     if not p.named:
         return set(), set()
-    named, total, outside = set(p.named), 0.0, 0.0
-    inside, own = defaultdict(float), defaultdict(float)  # points: of named elements; of clean ones, less named ones in them
+    parents, named = p.parents, set(p.named)
+    points: dict[int, float] = defaultdict(float)
     for owner, text, links in p.blocks:
-        if p.tags[owner] in HEADINGS:
-            continue
-        points, within = _points(text, links), False
-        total += points
-        for n in _above(p.parents, owner):
-            if n in named:
-                inside[n] += points
-                within = True
-            elif n in p.clean and not within:
-                own[n] += points
-        outside += 0 if within else points
-    held, at = defaultdict(float), defaultdict(float)  # most points of a clean element: in a named one; directly in it (0: in none)
-    for c, points in own.items():
-        over = [n for n in _above(p.parents, c) if n in named]
-        for n in over:
-            held[n] = max(held[n], points)
-        first = over[0] if over else 0
-        at[first] = max(at[first], points)
+        if p.tags[owner] not in HEADINGS:
+            points[owner] += _points(text, links)
+    inside = _summed(parents, points)
+    own = [points.get(n, 0.0) for n in range(len(parents))]  # less what is in named elements below
+    for n in range(len(parents) - 1, 0, -1):
+        if n not in named:
+            own[parents[n]] += own[n]
+    held = [own[n] if n in p.clean else 0.0 for n in range(len(parents))]  # most points of a clean element in it
+    for n in range(len(parents) - 1, 0, -1):
+        held[parents[n]] = max(held[parents[n]], held[n])
+    over = [0] * len(parents)  # the innermost named element around, or itself; 0: none
+    for n in range(1, len(parents)):
+        over[n] = n if n in named else over[parents[n]]
+    at: dict[int, float] = defaultdict(float)  # most points of a clean element directly in a named one
+    for c in p.clean:
+        at[over[c]] = max(at[over[c]], own[c])
     rival: dict[int, float] = {0: 0.0}
     stays = set()
     for n in p.named:
-        up = next((k for k in _above(p.parents, p.parents[n]) if k in named), 0)
+        up = over[parents[n]]
         rival[n] = max(rival[up], at[up])
-        if held[n] > rival[n] or (not rival[n] and 2 * inside[n] > total):
+        if held[n] > rival[n] or (not rival[n] and 2 * inside[n] > inside[0]):
             stays.add(n)
-    if not outside and not stays and inside:
-        stays = {max(inside, key=lambda n: (inside[n], -n))}
+    outside = any(x for n, x in points.items() if not over[n])
+    if not outside and not stays and inside[0]:
+        stays = {max(p.named, key=lambda n: (inside[n], -n))}
     return named - stays, {n for n in stays if not held[n]}
 
 
+def _sizes(parents: list[int], blocks) -> tuple[list[float], list[float]]:
+    """Characters, and those in links, of each element and all below."""
+    sizes, linked = defaultdict(float), defaultdict(float)
+    for owner, text, links in blocks:
+        sizes[owner] += len(text)
+        linked[owner] += links
+    return _summed(parents, sizes), _summed(parents, linked)
+
+
 def blocks_of(page: str | None) -> list[str]:
     """The article's blocks in page order."""
     if not page:
         return []
     p = _Page()
     p.read(page)
-    tags, parents = p.tags, p.parents
     left_out, less = _by_name(p)
-    if left_out:
-        p.blocks = [x for x in p.blocks if not any(n in left_out for n in _above(parents, x[0]))]
-    sizes, linked = defaultdict(int), defaultdict(int)
-    for owner, text, links in p.blocks:
-        n = owner
-        while n >= 0:
-            sizes[n] += len(text)
-            linked[n] += links
-            n = parents[n]
-    listed = {n for n in sizes if tags[n] in ("ul", "ol", "dl", "table") and linked[n] > 0.6 * sizes[n]}
-    blocks = []
-    for owner, text, links in p.blocks:
-        if not any(n in listed for n in _above(parents, owner)):
-            blocks.append((owner, text, links))
-        else:
-            for n in _above(parents, owner):
-                sizes[n] -= len(text)
-                linked[n] -= links
-    score: dict[int, float] = defaultdict(float)
+    gone = _under(p.parents, left_out)
+    return choose(p.tags, p.parents, [x for x in p.blocks if not gone[x[0]]], less)
+
+
+def choose(tags: list[str], parents: list[int], blocks: list[tuple[int, str, int]], less: set[int]) -> list[str]:
+    """The texts of the blocks of the best container and its siblings; less: elements whose names lower their score."""
+    sizes, linked = _sizes(parents, blocks)
+    gone = _under(parents, {n for n, tag in enumerate(tags) if tag in LISTS and linked[n] > 0.6 * sizes[n]})
+    blocks = [x for x in blocks if not gone[x[0]]]
+    sizes, linked = _sizes(parents, blocks)
+    given: dict[int, float] = defaultdict(float)  # what an element gets directly
     for owner, text, links in blocks:
-        if tags[owner] in HEADINGS:
-            continue
-        points = _points(text, links)
-        n, level = (parents[owner] if tags[owner] in PARAGRAPHS else owner), 0
-        while n > 0:
-            score[n] += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            n, level = parents[n], level + 1
-    if not score:
+        if tags[owner] not in HEADINGS:
+            given[parents[owner] if tags[owner] in PARAGRAPHS else owner] += _points(text, links)
+    score = [given.get(n, 0.0) for n in range(len(tags))]
+    for n in range(len(tags) - 1, 0, -1):
+        score[parents[n]] += score[n] / 2
+    reached = set(given)
+    for n in range(len(tags) - 1, 0, -1):
+        if n in reached:
+            reached.add(parents[n])
+    final = {n: score[n] * (1 - linked[n] / max(sizes[n], 1)) * (LESS if n in less else 1) for n in reached if n > 0}
+    if not final:
         return [t for _, t, links in blocks if 2 * links <= len(t)]
-    final = {n: s * (1 - linked[n] / max(sizes[n], 1)) for n, s in score.items()}
-    for n in less & final.keys():
-        final[n] *= LESS
     best = max(final, key=lambda n: (final[n], n))
-    for n in _above(parents, parents[best]):  # the article that it is most of holds its headings too
-        if tags[n] in ("article", "main") and 2 * sizes[best] >= sizes[n]:
+    n = parents[best]
+    while n > 0:  # the article that it is most of holds its headings too
+        if tags[n] in HOLDERS and 2 * sizes[best] >= sizes[n]:
             best, final[n] = n, max(final.get(n, 0), final[best])
             break
+        n = parents[n]
     kept, least = {best}, 0.25 * final[best]
     kept.update(n for n, s in final.items() if parents[n] == parents[best] and s >= least)
     for owner, text, links in blocks:
         if parents[owner] == parents[best] and tags[owner] == "p" and len(text) > 80 and 4 * links < len(text):
             kept.add(owner)
-    return [text for owner, text, _ in blocks if any(n in kept for n in _above(parents, owner))]
-
-
-def _above(parents: list[int], n: int):
-    while n > 0:
-        yield n
-        n = parents[n]
+    there = _under(parents, kept)
+    return [text for owner, text, _ in blocks if there[owner]]
 
 
 def main_text(page: str | None) -> str:

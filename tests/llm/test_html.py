@@ -1,10 +1,13 @@
 import re
+import time
 from html import unescape
 
 import duckdb
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from lakescan.llm.html_extract import blocks_of, main_text
+from lakescan.llm.html_extract import HEADINGS, HOLDERS, LESS, PARAGRAPHS, _by_name, _Page, _points, blocks_of, main_text
 from lakescan.llm.queries import op1_html_extract
 
 LONG = "This is a paragraph of the article, with commas, and with enough words to count as text."
@@ -61,7 +64,10 @@ def test_broken_pages(page):
     assert main_text(f"{page or ''}") == main_text(page)
 
 
-WRAPPERS = ['class="container has-sidebar"', "class=no-sidebar", 'class="layout-with-nav"', 'class="post promoted"', 'class="search-result"', 'id="page-with-comments"']
+WRAPPERS = [
+    'class="content has-sidebar"', 'class="post no-comments"', 'class="single ad-free"', 'id="page" class="with-sidebar"',
+    'class="container has-sidebar"', "class=no-sidebar", 'class="layout-with-nav"', 'class="post promoted"', 'class="search-result"', 'id="page-with-comments"',
+]
 
 
 @pytest.mark.parametrize("name", WRAPPERS)
@@ -83,6 +89,66 @@ def test_long_comments_beside_an_article_are_left_out():
     assert blocks_of(f"<body><div class=has-sidebar><article><h1>H</h1>{p * 2}</article><div id=comments>{p * 30}</div></div></body>") == ["H", LONG, LONG]
 
 
+def plain(page):
+    """The scoring with a walk over the ancestors of every block, and of every element for what is left out by name."""
+    p = _Page()
+    p.read(page)
+
+    def above(n):
+        while n > 0:
+            yield n
+            n = p.parents[n]
+
+    def total(of, n):
+        return sum(of(b) for b in blocks if n in above(b[0]))
+
+    left_out, less = _by_name(p)
+    blocks = [b for b in p.blocks if not left_out & set(above(b[0]))]
+    size, link = (lambda b: len(b[1])), (lambda b: b[2])
+    lists = {n for n, t in enumerate(p.tags) if t in ("ul", "ol", "dl", "table") and total(link, n) > 0.6 * total(size, n)}
+    blocks = [b for b in blocks if not lists & set(above(b[0]))]
+    score = {}
+    for owner, text, links in blocks:
+        if p.tags[owner] not in HEADINGS:
+            for level, n in enumerate(above(p.parents[owner] if p.tags[owner] in PARAGRAPHS else owner)):
+                score[n] = score.get(n, 0) + _points(text, links) / 2**level
+    if not score:
+        return [t for _, t, links in blocks if 2 * links <= len(t)]
+    score = {n: x * (1 - total(link, n) / max(total(size, n), 1)) * (LESS if n in less else 1) for n, x in score.items()}
+    best = max(score, key=lambda n: (round(score[n], 9), n))
+    holder = next((n for n in above(p.parents[best]) if p.tags[n] in HOLDERS and 2 * total(size, best) >= total(size, n)), None)
+    if holder:
+        score[holder], best = max(score.get(holder, 0), score[best]), holder
+    kept = {best} | {n for n, x in score.items() if p.parents[n] == p.parents[best] and x >= 0.25 * score[best] - 1e-9}
+    kept |= {n for n, text, links in blocks if p.parents[n] == p.parents[best] and p.tags[n] == "p" and len(text) > 80 and 4 * links < len(text)}
+    return [text for owner, text, _ in blocks if kept & set(above(owner))]
+
+
+SOUP = ["<div>", "</div>", "<div class=sidebar>", "<div class='post no-comments'>", "<section>", "</section>", "<article>", "</article>", "<p>", "</p>", "<ul>", "<li>", "</ul>", "<a href=x>", "</a>", "<h2>", "</h2>", "<table><tr><td>", "</table>", "<b>", "</b>", LONG, f"<p>{LONG}</p>", "short", "a, b, c"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(SOUP), max_size=40))
+def test_scoring_equals_plain_walks(parts):
+    assert blocks_of("".join(parts)) == plain("".join(parts))
+
+
+MB = 1_000_000
+LONG_PAGES = {
+    "nested": "<div>x" * (MB // 6), "nested, closed": "<div>x" * (MB // 12) + "</div>" * (MB // 12), "named": "<div class=sidebar>x" * (MB // 20),
+    "inline": "<b>x" * (MB // 4), "open tags": "<a " * (MB // 3), "declarations": "<!x " * (MB // 4), "quotes": "<a '\">" * (MB // 6), "one quote": "<a '>" * (MB // 5) + "'",
+    "paragraphs in buttons": "<p><button>" * (MB // 11), "lists": "<ul><li>x" * (MB // 9), "tables": "<table><tr><td>x" * (MB // 16), "comments": "<!--" * (MB // 4), "ends": "</p>" * (MB // 4), "less": "<" * MB,
+    "articles": "<article>x" * (MB // 10), "headers": "<header><h1>x" * (MB // 13), "scripts": "<script>x</script>" * (MB // 18), "attributes": "<p " + "a=b " * (MB // 4) + ">x", "spaces": "<p a" + " " * MB + "b>x",
+}
+
+
+@pytest.mark.parametrize("name", LONG_PAGES)
+def test_time_grows_with_the_length_of_odd_pages(name):
+    begin = time.process_time()
+    main_text(LONG_PAGES[name])
+    assert time.process_time() - begin < 10
+
+
 def test_plain_text_and_entities():
     assert main_text("just &eacute; text\n\twith   space") == "just é text with space"
 
