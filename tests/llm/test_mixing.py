@@ -1,8 +1,11 @@
+import hashlib
+import random
 import re
 
 import duckdb
 import pytest
 
+from lakescan.llm import mixing
 from lakescan.llm.mixing import mix, mixed_documents, targets, words
 from lakescan.llm.queries import ORACLE_SQL, op4_mixing
 
@@ -53,6 +56,70 @@ def test_a_long_document_at_the_cut_is_passed_by(spark, n, short, long):
         assert abs(taken["a"] - goal["a"]) <= 0.01 * goal["a"]
 
 
+def chances(sizes, extra):
+    """Inclusion probabilities: a level times 2^class, at most 1, found by bisection."""
+    cls = [(n.bit_length() - 1) // 2 for n in sizes]
+    low, high = 0.0, 1.0
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(1, level * 2.0**c) * n for c, n in zip(cls, sizes)) < extra else (low, level)
+    return [1.0 if 1 - (p := low * 2.0**c) < 1e-12 else p for c in cls]
+
+
+def plain_sample(sizes, extra, target, u, near=mixing.NEAR):
+    """Which documents get one more copy: the certain ones, then down the Pareto order while they fit."""
+    p = chances(sizes, extra)
+    taken = [x == 1 for x in p]
+    room = int(extra - sum(n for n, t in zip(sizes, taken) if t) + 1e-9)
+    order = sorted((i for i, t in enumerate(taken) if not t), key=lambda i: (u[i] / (1 - u[i]) * (1 - p[i]) / p[i], i))
+    for i in order:
+        if sizes[i] <= room and room > near * target:
+            taken[i] = True
+            room -= sizes[i]
+    if room > near * target and (more := [i for i in order if not taken[i] and sizes[i] < 2 * room]):
+        taken[min(more, key=lambda i: abs(sizes[i] - room))] = True
+    return p, taken
+
+
+def mixed_sizes(n, seed):
+    r = random.Random(seed)
+    return [min(int(r.lognormvariate(4, 1.3)) + 1, 5000) for _ in range(n)]
+
+
+def test_sample_equals_a_plain_walk(spark):
+    sizes = mixed_sizes(150, 1)
+    rows = [(i, "w " * n, "en", "a", 0) for i, n in enumerate(sizes)] + [(1000, "w " * (sum(sizes) // 2), "en", "b", 0), (1001, "", "en", "a", 0)]
+    for seed in ("x", "y"):
+        got = [r for r in mix(odd(spark, rows).drop("size"), seed=seed).collect() if r.source == "a" and r.size]
+        got.sort(key=lambda r: r.doc_id)
+        u = [(int(hashlib.md5(f"{seed}:{i}:{n}:1".encode()).hexdigest()[:12], 16) + 0.5) / 2**48 for i, n in enumerate(sizes)]
+        certain = int(got[0].target // sum(sizes))
+        _, want = plain_sample(sizes, got[0].target - certain * sum(sizes), got[0].target, u)
+        assert [r.copies - certain for r in got] == [int(x) for x in want]
+
+
+def test_inclusion_probabilities_are_unequal_and_met():
+    """Over many orders: every class of sizes is included about as often as it should be, and totals come near."""
+    sizes, r, n = mixed_sizes(400, 2), random.Random(3), 600
+    extra, often, off = 0.4 * sum(sizes), [0] * 400, []
+    for _ in range(n):
+        p, taken = plain_sample(sizes, extra, sum(sizes), [r.random() for _ in sizes])
+        often = [a + b for a, b in zip(often, taken)]
+        off.append(abs(sum(s for s, t in zip(sizes, taken) if t) - extra) / sum(sizes))
+    assert max(off) < 0.01 and len({round(x, 6) for x in p}) >= 4
+    for chance in set(p):
+        own = [a / n for a, x in zip(often, p) if x == chance]
+        assert sum(own) / len(own) == pytest.approx(chance, abs=0.03)
+
+
+def test_more_sources_than_are_broadcast_join_by_salted_keys(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    columns = ("doc_id", "copy_of", "size", "target", "taken")
+    want = sorted(map(tuple, mix(docs).select(*columns).collect()), key=str)
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    assert sorted(map(tuple, mix(docs).select(*columns).collect()), key=str) == want
+
+
 def plain_targets(sizes, most=3.0):
     """Shares by weight; caps; the excess again by weight until none is above."""
     names = sorted(sizes, key=lambda s: (s is None, s))
