@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructField, StructType
 
+from lakescan.errors import UnknownField
 from lakescan.sources.resolver import path_column
 
 
@@ -52,12 +54,37 @@ def leaf(df: DataFrame, path) -> DataFrame:
     return nullable(df, path)
 
 
-def levels(df: DataFrame, path, element_nullable: bool = True) -> DataFrame:
-    """value, def_level and rep_level of each entry of an optional flat column or an optional list of flat elements."""
-    c = path_column(path)
-    if df.select(c).schema[0].dataType.typeName() != "array":
-        return df.select(c.alias("value"), F.when(c.isNull(), 0).otherwise(1).alias("def_level"), F.lit(0).alias("rep_level"))
-    entries = df.select(c.isNull().alias("_none"), F.posexplode_outer(c).alias("_at", "value"))
-    there: Column = F.when(F.col("value").isNull() & F.lit(element_nullable), 2).otherwise(3 if element_nullable else 2)
-    level = F.when(F.col("_none"), 0).when(F.col("_at").isNull(), 1).otherwise(there)
-    return entries.select("value", level.alias("def_level"), F.when(F.col("_at") > 0, 1).otherwise(0).alias("rep_level"))
+def levels(df: DataFrame, path, schema: StructType | None = None) -> DataFrame:
+    """value, def_level and rep_level of each entry of a leaf, through structs, lists and maps at any depth.
+
+    path: names of columns and fields, and ``key`` or ``value`` behind a map; lists need no name. schema: tells what is
+    required (R.read_schema of a footer); without it all is optional, as in the DataFrame. An entry that isn't there
+    (a null or an empty list above it) has a null value and the level down to which there is something.
+    """
+    name, *rest = path.split(".") if isinstance(path, str) else list(path)
+    field = (schema or df.schema)[name]
+    kind, optional, depth = field.dataType, field.nullable, 0
+    now = df.select(F.col(f"`{name}`").alias("value"), F.lit(0).alias("def_level"), F.lit(0).alias("rep_level"), F.lit(True).alias("_there"))
+    value, def_level, rep_level, there = (F.col(c) for c in now.columns)
+    while True:
+        if optional:
+            some = there & value.isNotNull()
+            now = now.withColumns({"def_level": def_level + some.cast("int"), "_there": some})
+        if isinstance(kind, StructType):
+            field, now = kind[rest[0]], now.withColumn("value", value.getField(rest.pop(0)))
+            kind, optional = field.dataType, field.nullable
+            continue
+        if isinstance(kind, MapType):
+            now = now.withColumn("value", F.map_entries("value"))
+            kind = ArrayType(StructType([StructField("key", kind.keyType, False), StructField("value", kind.valueType, kind.valueContainsNull)]), False)
+        if not isinstance(kind, ArrayType):
+            break
+        depth += 1
+        now = now.select(F.posexplode_outer("value").alias("_at", "value"), "def_level", "rep_level", "_there")
+        entry = F.col("_at").isNotNull()
+        rep = F.when(F.col("_at") > 0, depth).otherwise(rep_level)
+        now = now.withColumns({"def_level": def_level + entry.cast("int"), "rep_level": rep, "_there": there & entry}).drop("_at")
+        kind, optional = kind.elementType, kind.containsNull
+    if rest:
+        raise UnknownField(f"{path}: nothing is below {name}")
+    return now.select("value", "def_level", "rep_level")

@@ -13,16 +13,26 @@ from lakescan.sources import resolver as R
 
 
 def scan(spark: SparkSession, paths: str | list[str], physical: bool = False, columns: list[str] | None = None) -> DataFrame:
-    """All files as one DataFrame, with the schema resolved from the first footer: types that inference refuses included.
+    """All files as one DataFrame, with the schema resolved from their footers: types that inference refuses included.
 
+    A column that some files lack is null there; one that has different types in them is refused (UnexpectedType).
     physical: stored values instead of logical ones (flat columns; nested ones keep the read types).
     """
-    files = FT.files_of(spark, paths)
-    first = FT.read_footer(spark, files[0])
-    df = spark.read.schema(R.read_schema(first, physical, columns)).parquet(*([paths] if isinstance(paths, str) else paths))
+    return _scan(spark, paths, FT.kinds_of(spark, paths), physical, columns)
+
+
+def _scan(spark: SparkSession, paths: str | list[str], footers: list[FT.Footer], physical: bool = False, columns: list[str] | None = None) -> DataFrame:
+    """footers: of each kind of file that is there."""
+    for f in footers:
+        if refused := f.codecs & FT.REFUSED:
+            raise UnsupportedCodec(f"{f.path}: {', '.join(sorted(refused))}")
+    if any("BYTE_STREAM_SPLIT" in f.encodings for f in footers):
+        spark = scalar_session(spark)
+    schema = R.merged([R.read_schema(f, physical, columns) for f in footers])
+    df = spark.read.schema(schema).parquet(*([paths] if isinstance(paths, str) else paths))
     if not physical:
         return df
-    flat = {e.name: e for e in first.root.children if e.column is not None and e.repetition != "REPEATED"}
+    flat = R.flat_leaves(footers)
     return df.select(*(R.physical_value(flat[c], R.path_column([c])).alias(c) if c in flat else F.col(f"`{c}`") for c in df.columns))
 
 
@@ -37,19 +47,15 @@ class ParquetFile:
 
     @property
     def encodings(self) -> set[str]:
-        chunks = [c.get(3) or {} for g in self.footer.row_groups for c in g.get(1) or []]
-        return {FT._name(FT.ENCODINGS, e) for m in chunks for e in m.get(2) or []}
+        return self.footer.encodings
 
     @property
     def codecs(self) -> set[str]:
-        return {FT._name(FT.CODECS, (c.get(3) or {}).get(4)) for g in self.footer.row_groups for c in g.get(1) or []}
+        return self.footer.codecs
 
     def read(self, physical: bool = False) -> DataFrame:
         """The whole file. Pages in BYTE_STREAM_SPLIT are read by a session without the vectorized reader."""
-        if refused := self.codecs & {"BROTLI", "LZO"}:
-            raise UnsupportedCodec(f"{self.path}: {', '.join(sorted(refused))}")
-        spark = scalar_session(self.spark) if "BYTE_STREAM_SPLIT" in self.encodings else self.spark
-        return scan(spark, self.path, physical)
+        return _scan(self.spark, self.path, [self.footer], physical)
 
     def row_group(self, i: int, physical: bool = False) -> DataFrame:
         """The rows of a row group, by their range of row indexes: Spark's own reader, with all its pruning."""
@@ -61,7 +67,7 @@ class ParquetFile:
             return rows
         schema = R.read_schema(self.footer, True)
         rows = df.sparkSession.read.schema(schema).parquet(self.path).where(F.col("_metadata.row_index").between(before, before + n - 1))
-        flat = {e.name: e for e in self.footer.root.children if e.column is not None and e.repetition != "REPEATED"}
+        flat = R.flat_leaves([self.footer])
         return rows.select(*(R.physical_value(flat[c], R.path_column([c])).alias(c) if c in flat else F.col(f"`{c}`") for c in rows.columns))
 
     def column(self, path, physical: str | None = None, nullable: bool = True, view=None) -> DataFrame:
@@ -79,6 +85,10 @@ class ParquetFile:
             return C.flattened(top, [e.path[0]])
         return C.nullable(top, e.path)
 
+    def levels(self, path) -> DataFrame:
+        """value, def_level and rep_level of a leaf, as the file has them; path as for columns.levels."""
+        return C.levels(self.read(), path, R.read_schema(self.footer))
+
     def list_column(self, path, null_as_empty: bool = False) -> DataFrame:
         R.expect_list(self.footer.must_find(path))
         return C.list_column(self.read(), path, null_as_empty=null_as_empty)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
@@ -38,3 +39,19 @@ def hadoop(spark: SparkSession, settings: dict[str, str]):
     finally:
         for k, v in before.items():
             conf.unset(k) if v is None else conf.set(k, v)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what spark.checkpoint.dir names, or the checkpoint folder that was set.
+
+    A local session may do without: driver and executors are one machine then. Anywhere else its absence is an error.
+    """
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if (found := context._jsc.sc().getCheckpointDir()).isDefined():
+        return found.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+    context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lakescan-')}")
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")

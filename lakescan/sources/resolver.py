@@ -88,6 +88,50 @@ def read_schema(footer: Footer, physical: bool = False, columns: list[str] | Non
     return T.StructType([T.StructField(c.name, type_of(c, physical), c.repetition != "REQUIRED") for c in wanted])
 
 
+def merged(schemas: list[T.StructType]) -> T.StructType:
+    """All fields of the schemas, in the order in which they are met; a field that one lacks is nullable."""
+    found: dict[str, T.StructField] = {}
+    for schema in schemas:
+        for f in schema:
+            if f.name not in found:
+                found[f.name] = f
+                continue
+            before = found[f.name]
+            kind = before.dataType
+            if isinstance(kind, T.StructType) and isinstance(f.dataType, T.StructType):
+                kind = merged([kind, f.dataType])
+            elif _nullable(kind) != _nullable(f.dataType):
+                raise UnexpectedType(f"{f.name} is {kind.simpleString()} in a file and {f.dataType.simpleString()} in another")
+            elif kind != f.dataType:
+                kind = _nullable(kind)
+            found[f.name] = T.StructField(f.name, kind, before.nullable or f.nullable)
+    lacking = {n for n in found for s in schemas if n not in s.fieldNames()}
+    return T.StructType([T.StructField(f.name, f.dataType, f.nullable or f.name in lacking) for f in found.values()])
+
+
+def _nullable(kind: T.DataType) -> T.DataType:
+    """The type with everything in it nullable."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_nullable(kind.elementType), True)
+    if isinstance(kind, T.MapType):
+        return T.MapType(_nullable(kind.keyType), _nullable(kind.valueType), True)
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _nullable(f.dataType), True) for f in kind])
+    return kind
+
+
+def flat_leaves(footers: list[Footer]) -> dict[str, Element]:
+    """Top-level columns that are no groups and do not repeat, by name; the same one may not be stored in two ways."""
+    found: dict[str, Element] = {}
+    for f in footers:
+        for e in f.root.children:
+            if e.column is not None and e.repetition != "REPEATED":
+                before = found.setdefault(e.name, e)
+                if (before.physical, before.annotation) != (e.physical, e.annotation):
+                    raise UnexpectedType(f"{e.name} is {before.physical} ({before.annotation}) in a file and {e.physical} ({e.annotation}) in another")
+    return found
+
+
 def physical_value(e: Element, column: Column) -> Column:
     """The stored value of a flat leaf that was read with leaf_type(e, physical=True)."""
     if e.physical == "INT96":

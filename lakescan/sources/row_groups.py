@@ -1,4 +1,4 @@
-"""A Spark data source with one partition per row group, for what Spark's reader lacks.
+"""A Spark data source with one partition per row group (or per file, if there are many), for what Spark's reader lacks.
 
 It addresses row groups, reads BROTLI files and half floats, UUIDs and times natively, and gives INT96 exactly. PyArrow reads
 each row group on an executor, batch by batch and only the wanted columns; paths have to be readable there.
@@ -8,12 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from .files import arrow_file
+
 NAME = "row_groups"
+#: Of so many files the planner counts the row groups.
+MOST_OPENED = 64
 EPOCH_JULIAN = 2440588
 
 
@@ -60,7 +65,7 @@ def _raw_int96(column: pa.Array) -> pa.Array:
 @dataclass
 class RowGroup(InputPartition):
     path: str
-    index: int
+    index: int | None
 
 
 class RowGroups(DataSource):
@@ -73,13 +78,14 @@ class RowGroups(DataSource):
     def files(self) -> list[str]:
         from pyarrow import fs
 
-        at, path = fs.FileSystem.from_uri(self.options["path"]) if ":" in self.options["path"] else (fs.LocalFileSystem(), self.options["path"])
+        at, path = arrow_file(self.options["path"])
         info = at.get_file_info(path)
         if info.type == fs.FileType.File:
             return [self.options["path"]]
         found = at.get_file_info(fs.FileSelector(path, recursive=True))
-        scheme = self.options["path"].split(":", 1)[0] + "://" if ":" in self.options["path"] else ""
-        return sorted(scheme + f.path for f in found if f.is_file and not f.base_name.startswith(("_", ".")))
+        scheme = urlsplit(self.options["path"]).scheme
+        lead = f"{scheme}://" if len(scheme) > 1 and scheme != "file" else ""
+        return sorted(lead + f.path for f in found if f.is_file and not f.base_name.startswith(("_", ".")))
 
     def raw(self) -> set[str]:
         return {x for x in self.options.get("int96", "").split(",") if x}
@@ -96,10 +102,9 @@ class RowGroups(DataSource):
 
 def _open(path: str):
     import pyarrow.parquet as pq
-    from pyarrow import fs
 
-    at, path = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
-    return pq.ParquetFile(at.open_input_file(path))
+    at, inside = arrow_file(path)
+    return pq.ParquetFile(at.open_input_file(inside))
 
 
 class Reader(DataSourceReader):
@@ -107,10 +112,15 @@ class Reader(DataSourceReader):
         self.all, self.columns, self.index, self.raw = files, columns, index, raw
 
     def partitions(self) -> list[RowGroup]:
-        return [RowGroup(f, i) for f in self.all for i in range(_open(f).num_row_groups) if self.index is None or int(self.index) == i]
+        """One for each row group; of many files, one for each file, so that the planner opens none of them."""
+        if self.index is not None or len(self.all) > MOST_OPENED:
+            return [RowGroup(f, None if self.index is None else int(self.index)) for f in self.all]
+        return [RowGroup(f, i) for f in self.all for i in range(_open(f).num_row_groups)]
 
     def read(self, partition: RowGroup) -> Iterator[pa.RecordBatch]:
-        for batch in _open(partition.path).iter_batches(10_000, row_groups=[partition.index], columns=self.columns):
+        file = _open(partition.path)
+        wanted = range(file.num_row_groups) if partition.index is None else [partition.index] if partition.index < file.num_row_groups else []
+        for batch in file.iter_batches(10_000, row_groups=list(wanted), columns=self.columns) if wanted else ():
             columns = [_raw_int96(c) if n in self.raw else _plain(c, readable(c.type)) for n, c in zip(batch.schema.names, batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, self.columns)
 

@@ -78,3 +78,22 @@ class Reader:
             field = field + (head >> 4) if head >> 4 else self.zigzag(16)
             out[field] = self.value(head & 15, depth)
         return out
+
+
+def fitted(value: dict, kinds: dict) -> dict:
+    """A struct without the fields that have another type of value than ``kinds`` says; fields not named there stay."""
+    out = {}
+    for field, x in value.items():
+        kind = kinds.get(field)
+        if kind is None:
+            out[field] = x
+        elif isinstance(kind, list):
+            if isinstance(x, list) and all(_has(e, kind[0]) for e in x):
+                out[field] = [fitted(e, kind[0]) if isinstance(e, dict) else e for e in x]
+        elif _has(x, kind):
+            out[field] = fitted(x, kind) if isinstance(x, dict) else x
+    return out
+
+
+def _has(value, kind) -> bool:
+    return isinstance(value, dict) if isinstance(kind, dict) else type(value) is kind

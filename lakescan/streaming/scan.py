@@ -1,4 +1,4 @@
-"""A folder of Parquet files as a stream, with the schema resolved from a file that is there already."""
+"""A folder of Parquet files as a stream, with the schema resolved from the files that are there already."""
 
 from __future__ import annotations
 
@@ -9,9 +9,9 @@ from lakescan.sources import resolver as R
 
 
 def read_stream(spark: SparkSession, folder: str, like: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
-    """New files become rows as they arrive; like: the file whose footer gives the schema (or the folder's first one)."""
-    first = like or FT.files_of(spark, folder)[0]
-    reader = spark.readStream.schema(R.read_schema(FT.read_footer(spark, first)))
+    """New files become rows as they arrive; like: the file whose footer gives the schema (or all that the folder has)."""
+    footers = [FT.read_footer(spark, like)] if like else FT.kinds_of(spark, folder)
+    reader = spark.readStream.schema(R.merged([R.read_schema(f) for f in footers]))
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(folder)

@@ -1,3 +1,5 @@
+import json
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -94,3 +96,31 @@ def test_sorting_columns_and_statistics(spark, tmp_path):
 def test_driver_tables(spark, small):
     got = {r.name: r.annotation for r in FT.schema_leaves(spark, f"{small}/events.parquet").collect()}
     assert got["ts"] == "TIMESTAMP_MICROS" and got["props"] == "STRING" and got["value"] is None
+
+
+def test_fields_of_another_type_are_skipped():
+    """A footer whose version is text, whose row count is a list, and whose element has a repetition of another type."""
+    root = b"\x48\x04root" + b"\x15\x02" + b"\0"  # 4: name, 5: one child
+    leaf = b"\x15\x04" + b"\x28\x01x" + b"\x18\x01n" + b"\0"  # 1: INT64, 3: text for a number, 4: name
+    f = FT.parse(b"\x18\x03abc" + b"\x19\x2c" + root + leaf + b"\x19\x15\x02" + b"\0")  # 1: text, 2: schema, 3: list
+    assert 1 not in f.raw and 3 not in f.raw
+    assert [(e.name, e.physical, e.repetition) for e in f.elements[1:]] == [("n", "INT64", None)]
+    assert FT.fitted({1: "no", 3: 7, 5: [{1: b"k", 2: 3}], 99: "kept"}, FT._FILE) == {3: 7, 5: [{1: b"k"}], 99: "kept"}
+    assert FT.fitted({2: [1, 2], 4: [{2: True, 3: 5}]}, FT._FILE) == {4: [{3: 5}]}
+
+
+def test_encryption_and_signatures_are_reported():
+    f = FT.Footer("p", 100, {1: 2, 3: 0, 8: {1: {}}, 9: b"key"}, [FT.Element("", (), None, None, None, None, None, {}, None, None, None, 0, 0)])
+    (row,) = FT._file_rows(f)
+    assert row[-2:] == (True, True)
+
+
+def test_footers_by_executors_and_by_the_driver_are_the_same(spark, nested, monkeypatch):
+    def rows(df):
+        plain = (json.dumps(r.asDict(recursive=True), sort_keys=True, default=str) for r in df.collect())
+        return sorted(x.replace("file:///", "file:/") for x in plain)  # either way to name a file
+
+    reads = (FT.file_metadata, FT.schema_elements, FT.row_groups, FT.column_chunks)
+    by_executors = [rows(r(spark, nested)) for r in reads]
+    monkeypatch.setattr(FT, "arrow_reads", lambda *_: False)
+    assert by_executors == [rows(r(spark, nested)) for r in reads] and all(by_executors)

@@ -15,6 +15,9 @@ from lakescan.functions import views as V
 from lakescan.operators import columns as C
 from lakescan.plans import summaries as S
 from lakescan.scan import ParquetFile, lenient, scan, strict_count
+from lakescan.sources import footer as FT
+from lakescan.sources import row_groups as RG
+from lakescan.sources.arrow_files import write_arrow
 from lakescan.sources.row_groups import scan_row_groups
 from lakescan.streaming.scan import read_stream
 
@@ -172,7 +175,15 @@ def test_nested(spark, tmp_path):
     assert values(f.read().select(F.transform("h", V.float16))) == [[1.5], None, [], [None]]
     got = [tuple(r) for r in C.levels(f.read(), "l").collect()]
     assert got == [(1, 3, 0), (2, 3, 1), (None, 2, 1), (None, 0, 0), (None, 1, 0), (4, 3, 0)]
-    assert [tuple(r) for r in C.levels(f.read(), "s.x").collect()] == [(1, 1, 0), (None, 0, 0), (None, 0, 0), (4, 1, 0)]
+    assert [tuple(r) for r in f.levels("s.x").collect()] == [(1, 2, 0), (None, 0, 0), (None, 1, 0), (4, 2, 0)]  # the struct is a level too
+    assert [tuple(r) for r in f.levels("ll").collect()] == [("a", 7, 0), (None, 3, 1), (None, 0, 0), (None, 4, 0), (None, 1, 0)]
+    assert [tuple(r) for r in f.levels("mm.value.value").collect()] == [(True, 5, 0), (None, 0, 0), (None, 1, 0), (None, 1, 0)]
+    assert [tuple(r) for r in f.levels("mm.key").collect()] == [("k", 2, 0), (None, 0, 0), (None, 1, 0), (None, 1, 0)]
+    for path in ("l", "s.x", "s.y.z", "ll", "mm.key", "mm.value.value", "m.value"):
+        leaf = next(e for e in f.footer.leaves if e.path[0] == path.split(".")[0] and (path == e.path[0] or e.path[-1] == path.split(".")[-1]))
+        assert f.levels(path).agg(F.max("rep_level")).first()[0] <= leaf.max_rep and f.levels(path).agg(F.max("def_level")).first()[0] <= leaf.max_def
+    with pytest.raises(E.UnknownField):
+        f.levels("l.x")
 
 
 def test_legacy_lists(spark, tmp_path):
@@ -318,3 +329,81 @@ def test_concatenated_gzip_and_paths(spark, tmp_path):
     path = save(tmp_path / "with space" / "x.parquet", {"a.b": ([1], pa.int32()), "c d": (["x"], pa.string())}, compression="gzip")
     f = ParquetFile(spark, path)
     assert values(f.dynamic(0)) == [1] and values(f.dynamic(1)) == [b"x"]
+
+
+def test_schemas_of_all_files_are_merged(spark, tmp_path):
+    a = save(tmp_path / "a.parquet", {"x": ([1], pa.int32()), "h": ([np.float16(1.5)], pa.float16())})
+    b = save(tmp_path / "b.parquet", {"x": ([2], pa.int32()), "y": (["q"], pa.string())})
+    assert sorted(tuple(r) for r in scan(spark, str(tmp_path)).select("x", V.float16("h"), "y").collect()) == [(1, 1.5, None), (2, None, "q")]
+    assert scan(spark, [a, b], physical=True).columns == ["x", "h", "y"]
+    save(tmp_path / "c.parquet", {"x": (["3"], pa.string())})
+    with pytest.raises(E.UnexpectedType):
+        scan(spark, str(tmp_path))
+
+
+def test_structs_are_merged_field_by_field(spark, tmp_path):
+    pq.write_table(pa.table({"s": pa.array([{"a": 1}])}), tmp_path / "a.parquet")
+    pq.write_table(pa.table({"s": pa.array([{"a": 2, "b": "x"}])}), tmp_path / "b.parquet")
+    assert sorted(tuple(r.s) for r in scan(spark, str(tmp_path)).collect()) == [(1, None), (2, "x")]
+
+
+def test_scan_picks_the_reader_for_all_files(spark, tmp_path):
+    save(tmp_path / "a.parquet", {"x": ([1.5, 2.5], pa.float64())})
+    save(tmp_path / "b.parquet", {"x": ([3.5], pa.float64())}, use_dictionary=False, column_encoding={"x": "BYTE_STREAM_SPLIT"})
+    assert sorted(values(scan(spark, str(tmp_path)))) == [1.5, 2.5, 3.5]
+    save(tmp_path / "c.parquet", {"x": ([4.5], pa.float64())}, compression="brotli")
+    with pytest.raises(E.UnsupportedCodec):
+        scan(spark, str(tmp_path))
+
+
+def test_lzo_is_refused(spark, tmp_path):
+    f = ParquetFile(spark, save(tmp_path / "x.parquet", {"x": ([1], pa.int64())}))
+    f.footer.row_groups[0][1][0][3][4] = 3
+    with pytest.raises(E.UnsupportedCodec):
+        f.read()
+
+
+def test_many_files_are_a_partition_each(spark, tmp_path, monkeypatch):
+    for i in range(3):
+        save(tmp_path / f"{i}.parquet", {"x": ([3 * i, 3 * i + 1, 3 * i + 2], pa.int64())}, row_group_size=1)
+    reader = RG.Reader([str(tmp_path / f"{i}.parquet") for i in range(3)], ["x"], None, set())
+    assert len(reader.partitions()) == 9
+    monkeypatch.setattr(RG, "MOST_OPENED", 2)
+    assert len(reader.partitions()) == 3
+    assert sorted(v for p in reader.partitions() for b in reader.read(p) for v in b.column(0).to_pylist()) == list(range(9))
+    assert sorted(values(scan_row_groups(spark, str(tmp_path), row_group=1))) == [1, 4, 7]
+
+
+def test_row_groups_are_cut_over_batches(spark, tmp_path):
+    n = write_arrow(spark.range(0, 1050, 1, 1), f"{tmp_path}/x", row_group_size=100)
+    sizes = [g.num_rows for g in FT.row_groups(spark, f"{tmp_path}/x").orderBy("row_group").collect()]
+    assert n == 1050 and sizes == [100] * 10 + [50]
+    assert write_arrow(spark.range(0), f"{tmp_path}/none") == 0
+
+
+def test_broken_pages_fail_and_do_not_give_rows(spark, tmp_path):
+    """Malformed dictionaries, lengths and deltas: bytes behind the header overwritten, the footer intact."""
+    given = {"x": ([f"v{i % 9}" for i in range(2000)], pa.string()), "d": (list(range(2000)), pa.int64())}
+    path = save(tmp_path / "x.parquet", given, compression="none", use_dictionary=["x"], column_encoding={"d": "DELTA_BINARY_PACKED"}, write_page_checksum=True)
+    data = bytearray((tmp_path / "x.parquet").read_bytes())
+    for r in FT.column_chunks(spark, path).collect():
+        bad, at = bytearray(data), r.dictionary_page_offset or r.data_page_offset
+        bad[at + 30 : at + 60] = b"\xff" * 30
+        (tmp_path / "bad.parquet").write_bytes(bad)
+        with pytest.raises(Exception, match="(?i)FAILED_READ_FILE|crc|checksum|corrupt"):
+            strict_count(spark, str(tmp_path / "bad.parquet"))
+
+
+def test_no_folder_of_one_machine_on_a_cluster(monkeypatch):
+    from unittest.mock import MagicMock
+
+    from lakescan.session import shared_folder
+
+    spark = MagicMock()
+    spark.conf.get.return_value = None
+    spark.sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = False
+    spark.sparkContext.master = "spark://host:7077"
+    with pytest.raises(RuntimeError):
+        shared_folder(spark)
+    spark.conf.get.return_value = "hdfs://x/y/"
+    assert shared_folder(spark) == "hdfs://x/y"
