@@ -6,19 +6,19 @@ through the engine, while the SQL computes from the table itself.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakescan import cli
 from lakescan.functions import views as V
 from lakescan.operators import columns as C
 from lakescan.plans import summaries as S
-from lakescan.scan import ParquetFile, scan
-from lakescan.session import scalar_session
+from lakescan.scan import ParquetFile, scan, strict_count
+from lakescan.session import shared_folder
 from lakescan.sources import footer as FT
 from lakescan.sources.arrow_files import write_arrow
 from lakescan.sources.row_groups import scan_row_groups
@@ -42,9 +42,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share, if the session names one; else one of this machine's, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/lakescan-{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share."""
+    return f"{shared_folder(spark)}/lakescan-{uuid.uuid4().hex}"
 
 
 # Aggregates and previews
@@ -115,6 +114,38 @@ def column_levels(spark, sf):
     return C.levels(table(spark, sf, "embeddings"), "embedding")
 
 
+@query(
+    "SELECT o_orderkey AS value, 5 AS def_level, 0 AS rep_level FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_custkey, 5, 2 FROM orders WHERE o_orderkey % 3 = 0 "
+    "UNION ALL SELECT NULL, unnest([3, 2, 4]), 1 FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT NULL, o_orderkey % 3 - 1, 0 FROM orders WHERE o_orderkey % 3 > 0"
+)
+def nested_list_levels(spark, sf):
+    """Lists of lists: full ones, empty ones, null ones and null entries."""
+    path = new_folder(spark)
+    lists = "array(array(o_orderkey, o_custkey), cast(array() AS array<bigint>), null, array(cast(null AS bigint)))"
+    table(spark, sf, "orders").selectExpr(f"CASE o_orderkey % 3 WHEN 0 THEN {lists} WHEN 2 THEN cast(array() AS array<array<bigint>>) END AS ll").write.parquet(path)
+    return C.levels(scan(spark, path), "ll")
+
+
+@query(
+    "SELECT o_totalprice AS value, 5 AS def_level, 0 AS rep_level FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT NULL, 4, 2 FROM orders WHERE o_orderkey % 3 = 0 "
+    "UNION ALL SELECT NULL, 3, 1 FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT NULL, o_orderkey % 3 - 1, 0 FROM orders WHERE o_orderkey % 3 > 0"
+)
+def nested_map_levels(spark, sf):
+    """Maps of maps; keys are required, so they add no level."""
+    path = new_folder(spark)
+    maps = "map('a', map(o_orderkey, o_totalprice, o_orderkey + 1, null), 'b', cast(map() AS map<bigint, double>))"
+    table(spark, sf, "orders").selectExpr(f"CASE o_orderkey % 3 WHEN 0 THEN {maps} WHEN 2 THEN cast(map() AS map<string, map<bigint, double>>) END AS mm").write.parquet(path)
+    return C.levels(scan(spark, path), "mm.value.value")
+
+
+@query("SELECT CASE WHEN n_regionkey > 0 THEN n_name END AS value, CASE WHEN n_regionkey > 0 THEN 3 ELSE 1 END AS def_level, 0 AS rep_level FROM nation")
+def struct_leaf_levels(spark, sf):
+    """A leaf below two structs, of which the inner one may be null."""
+    path = new_folder(spark)
+    table(spark, sf, "nation").selectExpr("struct(CASE WHEN n_regionkey > 0 THEN struct(n_name AS name) END AS inner) AS s").write.parquet(path)
+    return C.levels(scan(spark, path), "s.inner.name")
+
+
 def _nested(spark, sf) -> DataFrame:
     """nation as a map, a list of structs and nested structs, written and read back."""
     path = new_folder(spark)
@@ -228,7 +259,7 @@ _narrow("int8_view", pa.int8(), "cast(pmod(l_partkey, 256) - 128 AS int)", "l_pa
 _narrow("uint8_view", pa.uint8(), "cast(pmod(l_partkey, 256) AS int)", "l_partkey % 256", V.uint8)
 _narrow("int16_view", pa.int16(), "cast(pmod(l_partkey * 331, 65536) - 32768 AS int)", "(l_partkey * 331) % 65536 - 32768", V.int16)
 _narrow("uint16_view", pa.uint16(), "cast(pmod(l_partkey * 331, 65536) AS int)", "(l_partkey * 331) % 65536", V.uint16)
-_narrow("uint32_view", pa.uint32(), "pmod(l_partkey * 2147483659, 4294967296)", "(l_partkey * 2147483659) % 4294967296", lambda c: F.col(c))
+_narrow("uint32_view", pa.uint32(), "pmod(l_partkey * 2147483659, 4294967296)", "(l_partkey * 2147483659) % 4294967296", lambda c: V.uint32(V.uint32_as_int(c)))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN v > 2147483647 THEN v - 4294967296 ELSE v END AS v FROM (SELECT *, (l_partkey * 2147483659) % 4294967296 AS v FROM lineitem)")
@@ -266,7 +297,7 @@ def _decimal(name: str, kind: pa.DataType, stored_as: str, **options) -> None:
     @query(sql, name=name)
     def run(spark, sf):
         path = _as(spark, sf, "supplier", {"s_suppkey": "s_suppkey", "v": f"cast(round(s_acctbal, 2) AS decimal({kind.precision},2))"}, _cast(v=kind), **options)
-        assert FT.read_footers(spark, path)[0].find("v").physical == stored_as
+        assert FT.kinds_of(spark, path)[0].find("v").physical == stored_as
         return scan(spark, path).select("s_suppkey", F.col("v").cast("decimal(15,2)").cast("string").alias("v"))
 
 
@@ -317,7 +348,7 @@ def _encoded(name: str, sql: str, columns: dict[str, str], encodings: dict[str,
     @query(sql, name=name)
     def run(spark, sf):
         path = _as(spark, sf, "orders", columns, None, use_dictionary=False, column_encoding=encodings, **options)
-        return scan(scalar_session(spark) if "BYTE_STREAM_SPLIT" in encodings.values() else spark, path)
+        return scan(spark, path)
 
 
 _KEYS = {"k": "o_orderkey", "c": "cast(o_custkey AS int)"}
@@ -339,20 +370,41 @@ def codec_brotli(spark, sf):
 # Row groups and metadata
 
 
-@query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) WHERE i BETWEEN 100 AND 199")
-def row_group_select(spark, sf):
-    """The second of the row groups of 100 rows, by Spark's reader."""
+def _blocks(spark, sf) -> str:
+    """events in row groups of 100 rows, a hundred of event_id each, dealt over files; the path."""
     path = new_folder(spark)
-    write_arrow(table(spark, sf, "events").select("event_id", "user_id").coalesce(1).sortWithinPartitions("event_id"), path, row_group_size=100)
-    return ParquetFile(spark, FT.files_of(spark, path)[0]).row_group(1)
+    rows = table(spark, sf, "events").select("event_id", "user_id").repartition(F.expr("event_id div 100")).sortWithinPartitions("event_id")
+    write_arrow(rows, path, row_group_size=100)
+    return path
+
+
+def _unsigned(column: str) -> Column:
+    """A number of seven bytes at most from the little-endian bytes of a statistic, of four bytes or eight."""
+    padded = F.rpad(F.hex(column), 16, "0")
+    parts = [F.conv(F.substring(padded, 2 * i + 1, 2), 16, 10).cast("bigint") * F.lit(256**i) for i in range(7)]
+    return sum(parts[1:], parts[0])
+
+
+def _second_block(spark, path: str):
+    """Where the row group of the second hundred is: by its statistics, no page is read."""
+    return FT.column_chunks(spark, path).where("column_path = 'event_id'").where(_unsigned("min_value") == 100).select("path", "row_group").first()
+
+
+_SECOND_SQL = "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) WHERE i BETWEEN 100 AND 199"
+
+
+@query(_SECOND_SQL)
+def row_group_select(spark, sf):
+    """The second hundred, by Spark's reader."""
+    at = _second_block(spark, _blocks(spark, sf))
+    return ParquetFile(spark, at.path).row_group(at.row_group)
 
 
-@query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) WHERE i BETWEEN 100 AND 199")
+@query(_SECOND_SQL)
 def row_group_source(spark, sf):
     """The same by the row-group source."""
-    path = new_folder(spark)
-    write_arrow(table(spark, sf, "events").select("event_id", "user_id").coalesce(1).sortWithinPartitions("event_id"), path, row_group_size=100)
-    return scan_row_groups(spark, path, row_group=1)
+    at = _second_block(spark, _blocks(spark, sf))
+    return scan_row_groups(spark, at.path, row_group=at.row_group)
 
 
 @query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT n_nationkey AS r_regionkey, n_name AS r_name FROM nation")
@@ -396,12 +448,7 @@ def column_chunks(spark, sf):
 def chunk_statistics(spark, sf):
     """Least and largest key, decoded from the statistics' little-endian bytes."""
     rows = FT.column_chunks(spark, f"{sf}/orders.parquet").where("column_path = 'o_orderkey'")
-
-    def le(c):
-        parts = [F.conv(F.hex(F.substring(F.col(c), i + 1, 1)), 16, 10).cast("bigint") * F.lit(256**i) for i in range(7)]
-        return sum(parts[1:], parts[0])
-
-    return rows.agg(F.min(le("min_value")).alias("least"), F.max(le("max_value")).alias("largest"))
+    return rows.agg(F.min(_unsigned("min_value")).alias("least"), F.max(_unsigned("max_value")).alias("largest"))
 
 
 @query(
@@ -420,3 +467,195 @@ def schema_lookup(spark, sf):
     name = next(e.path for e in f.footer.leaves if e.path[0] == "embedding")
     e = f.find(name)
     return spark.createDataFrame([("embeddings", "embedding.list.element", e.column, e.max_def, e.max_rep)], "name string, path string, column_index int, def_level int, rep_level int")
+
+
+# Metadata of files whose every property is known
+
+
+def _known(spark, sf) -> str:
+    """orders in row groups of 500 rows, written with known properties; the path."""
+    path = new_folder(spark)
+    rows = table(spark, sf, "orders").selectExpr("o_orderkey AS k", "CASE WHEN o_orderkey % 3 > 0 THEN cast(o_custkey AS int) END AS c", "o_orderpriority AS s")
+    make = _cast(k=pa.int64())
+    write_arrow(rows.coalesce(4), path, lambda t: make(t).replace_schema_metadata({"who": "me"}), 500, compression="zstd", use_dictionary=["s"], column_encoding={"k": "DELTA_BINARY_PACKED", "c": "PLAIN"}, write_page_index=True, write_page_checksum=True)
+    return path
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS num_rows, 2 AS version, 3 AS num_schema_elements, 3 AS num_leaves, 'me' AS who, 3 AS num_column_orders, true AS by_arrow, false AS encrypted, false AS signed")
+def file_properties(spark, sf):
+    rows = FT.file_metadata(spark, _known(spark, sf))
+    same = [F.max(c).alias(c) for c in ("version", "num_schema_elements", "num_leaves")]
+    who, orders = F.max(F.col("key_value_metadata")["who"]).alias("who"), F.max("num_column_orders").alias("num_column_orders")
+    by = F.bool_and(F.col("created_by").startswith("parquet-cpp-arrow")).alias("by_arrow")
+    return rows.agg(F.sum("num_rows").alias("num_rows"), *same, who, orders, by, F.bool_or("encrypted").alias("encrypted"), F.bool_or("signed").alias("signed"))
+
+
+@query(
+    "SELECT * FROM (VALUES (0, 'k', 'INT64', 'OPTIONAL', 0, NULL, NULL, NULL, 1, 0), (1, 'c', 'INT32', 'OPTIONAL', 0, NULL, NULL, NULL, 1, 0), (2, 's', 'BYTE_ARRAY', 'OPTIONAL', 0, 'UTF8', 'STRING', 'STRING', 1, 0)) "
+    "AS t(column_index, path, physical_type, repetition, num_children, converted_type, logical_type, annotation, max_definition_level, max_repetition_level)"
+)
+def schema_properties(spark, sf):
+    rows = FT.schema_elements(spark, _known(spark, sf))
+    return rows.select("column_index", "path", "physical_type", "repetition", "num_children", "converted_type", "logical_type", "annotation", "max_definition_level", "max_repetition_level").distinct()
+
+
+@query("SELECT 100 AS num_rows, 2 AS num_columns, (count(*) // 100)::BIGINT AS groups, true AS sizes FROM events")
+def row_group_properties(spark, sf):
+    rows = FT.row_groups(spark, _blocks(spark, sf)).where("num_rows = 100")
+    sizes = F.bool_and(F.expr("total_byte_size > 0 AND coalesce(total_compressed_size, 1) > 0 AND first_row = 100 * row_group AND coalesce(ordinal, row_group) = row_group")).alias("sizes")
+    return rows.groupBy("num_rows", "num_columns").agg(F.count("*").alias("groups"), sizes).withColumn("num_rows", F.col("num_rows").cast("int"))
+
+
+@query(
+    "SELECT 'k' AS column_path, 'INT64' AS physical_type, 'ZSTD' AS codec, 'DELTA_BINARY_PACKED,RLE' AS encodings, false AS dictionary, true AS indexed, false AS encrypted, count(*) AS num_values, count(*) - count(o_orderkey) AS nulls, min(o_orderkey) AS least, max(o_orderkey) AS largest FROM orders "
+    "UNION ALL SELECT 'c', 'INT32', 'ZSTD', 'PLAIN,RLE', false, true, false, count(*), count(*) - count(CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END), min(CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END), max(CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END) FROM orders "
+    "UNION ALL SELECT 's', 'BYTE_ARRAY', 'ZSTD', 'PLAIN,RLE,RLE_DICTIONARY', true, true, false, count(*), count(*) - count(o_orderpriority), NULL, NULL FROM orders"
+)
+def column_chunk_properties(spark, sf):
+    rows = FT.column_chunks(spark, _known(spark, sf))
+    encodings, indexed = F.array_join(F.array_sort(F.array_distinct("encodings")), ",").alias("encodings"), F.expr("offset_index_offset > 0 AND offset_index_length > 0 AND column_index_offset > 0 AND column_index_length > 0").alias("indexed")
+    number = F.col("physical_type") != "BYTE_ARRAY"
+    return rows.groupBy("column_path", "physical_type", "codec", encodings, F.col("dictionary_page_offset").isNotNull().alias("dictionary"), indexed, "encrypted").agg(
+        F.sum("num_values").alias("num_values"), F.sum("null_count").alias("nulls"),
+        F.min(F.when(number, _unsigned("min_value"))).alias("least"), F.max(F.when(number, _unsigned("max_value"))).alias("largest"),
+    )
+
+
+@query("SELECT * FROM (VALUES ('o_custkey', false, true, false, false), ('o_orderkey', true, true, false, false)) AS t(column_path, bloom, indexed, key_values, encrypted)")
+def chunk_indexes(spark, sf):
+    """Pointers to bloom filters and page indexes, and key/value metadata of chunks, of a file by Spark's writer."""
+    path = new_folder(spark)
+    bloom = {"parquet.bloom.filter.enabled#o_orderkey": "true", "parquet.bloom.filter.expected.ndv#o_orderkey": "1000"}
+    # Keys that a dictionary holds get no filter: the writer keeps the dictionary.
+    table(spark, sf, "orders").select("o_orderkey", "o_custkey").write.options(**bloom, **{"parquet.enable.dictionary": "false"}).parquet(path)
+    rows = FT.column_chunks(spark, path)
+    flags = {"bloom": "bloom_filter_offset > 0", "indexed": "offset_index_offset > 0 AND column_index_offset > 0", "key_values": "key_value_metadata IS NOT NULL", "encrypted": "encrypted"}
+    return rows.groupBy("column_path").agg(*(F.bool_and(F.coalesce(F.expr(e), F.lit(False))).alias(n) for n, e in flags.items()))
+
+
+@query("SELECT count(*) AS num_rows, true AS bytes FROM orders")
+def total_bytes(spark, sf):
+    """Sums of row groups; each holds at least the bytes of its numbers."""
+    path = new_folder(spark)
+    table(spark, sf, "orders").select("o_orderkey").write.options(**{"parquet.enable.dictionary": "false"}).parquet(path)
+    rows = S.total_bytes(FT.row_groups(spark, path))
+    return rows.agg(F.sum("num_rows").alias("num_rows"), F.bool_and(F.col("total_byte_size") >= 8 * F.col("num_rows")).alias("bytes"))
+
+
+@query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row_index, p_partkey, (SELECT count(*) - 10 FROM part) AS more FROM part ORDER BY p_partkey LIMIT 10")
+def preview_and_rest(spark, sf):
+    return S.preview(table(spark, sf, "part"), "p_partkey")
+
+
+@query(
+    "SELECT 'Rows: ' || count(*) AS line FROM region UNION ALL SELECT 'Columns: 2' UNION ALL SELECT '  r_regionkey (INT64)' UNION ALL SELECT '  r_name (BYTE_ARRAY)' "
+    "UNION ALL SELECT '    ' || r_regionkey FROM region UNION ALL SELECT '    \"' || r_name || '\"' FROM region"
+)
+def dump_lines(spark, sf):
+    """The dump of a small table, but for lines on the file itself."""
+    path = new_folder(spark)
+    table(spark, sf, "region").selectExpr("cast(r_regionkey AS bigint) AS r_regionkey", "r_name").coalesce(1).write.parquet(path)
+    lines = [line for line in cli.dump(spark, FT.files_of(spark, path)[0]) if line.startswith(("Rows: ", "Columns: ", "  "))]
+    return spark.createDataFrame([(line,) for line in lines], "line string")
+
+
+# Nulls, empty chunks, checksums, more stored forms
+
+
+_KEPT = "o_orderkey % 3 > 0"
+
+
+@query(
+    "SELECT o_orderkey, CASE WHEN n THEN date_diff('day', DATE '1970-01-01', o_orderdate::DATE) END AS d, CASE WHEN n THEN epoch_ms(o_orderdate) END AS ms, CASE WHEN n THEN epoch_us(o_orderdate) END AS us, "
+    "CASE WHEN n THEN o_custkey % 256 - 128 END AS i8, CASE WHEN n THEN o_custkey % 65536 END AS u16, CASE WHEN n THEN 4294967295 - o_custkey END AS u32, CASE WHEN n THEN (18446744073709551615::HUGEINT - o_custkey)::VARCHAR END AS u64, "
+    "CASE WHEN n THEN (o_custkey % 64 / 4.0)::DOUBLE END AS f16, CASE WHEN n THEN (round(o_totalprice, 2)::DECIMAL(15,2))::VARCHAR END AS dec, CASE WHEN n THEN lower(md5(o_orderpriority)) END AS id, CASE WHEN n THEN o_orderpriority END AS s, CASE WHEN n THEN o_orderstatus = 'F' END AS b "
+    f"FROM (SELECT *, {_KEPT} AS n FROM orders)"
+)
+def null_views(spark, sf):
+    """Every logical view over a column with nulls: a third of the rows."""
+    of = {
+        "d": "cast(o_orderdate AS date)", "ms": "unix_micros(cast(o_orderdate AS timestamp)) div 1000", "us": "unix_micros(cast(o_orderdate AS timestamp))", "i8": "cast(o_custkey % 256 - 128 AS int)", "u16": "cast(o_custkey % 65536 AS int)",
+        "u32": "4294967295 - o_custkey", "u64": "-1 - o_custkey", "f16": "cast(o_custkey % 64 / 4.0 AS float)", "dec": "cast(round(o_totalprice, 2) AS decimal(15,2))", "id": "unhex(md5(o_orderpriority))", "s": "o_orderpriority", "b": "o_orderstatus = 'F'",
+    }
+    cast = _cast(ms=pa.timestamp("ms"), us=pa.timestamp("us"), i8=pa.int8(), u16=pa.uint16(), u32=pa.uint32(), f16=pa.float16(), id=pa.binary(16))
+
+    def make(t: pa.Table) -> pa.Table:
+        t = cast(t)
+        return t.set_column(t.schema.get_field_index("u64"), "u64", t.column("u64").combine_chunks().view(pa.uint64()))
+
+    path = _as(spark, sf, "orders", {"o_orderkey": "o_orderkey"} | {c: f"CASE WHEN {_KEPT} THEN {e} END" for c, e in of.items()}, make, store_decimal_as_integer=True)
+    views = {
+        "d": V.date_days("d").cast("long"), "ms": V.timestamp_millis("ms"), "us": V.timestamp_micros("us"), "i8": V.int8("i8").cast("long"), "u16": V.uint16("u16").cast("long"), "u32": V.uint32(V.uint32_as_int("u32")),
+        "u64": V.uint64(V.uint64_as_long("u64")).cast("string"), "f16": V.float16("f16").cast("double"), "dec": F.col("dec").cast("string"), "id": F.regexp_replace(V.uuid_text("id"), "-", ""), "s": V.text("s"), "b": F.col("b"),
+    }
+    return scan(spark, path).select("o_orderkey", *(e.alias(c) for c, e in views.items()))
+
+
+def _nulls(name: str, page: str) -> None:
+    @query(f"SELECT o_orderkey, CASE WHEN {_KEPT} THEN o_custkey END AS c, CASE WHEN o_orderkey % 1000 > 500 THEN o_orderpriority END AS s FROM orders", name=name)
+    def run(spark, sf):
+        columns = {"o_orderkey": "o_orderkey", "c": f"CASE WHEN {_KEPT} THEN o_custkey END", "s": "CASE WHEN o_orderkey % 1000 > 500 THEN o_orderpriority END"}
+        return scan(spark, _as(spark, sf, "orders", columns, None, data_page_version=page, data_page_size=256))
+
+
+_nulls("null_expansion_v1", "1.0")
+_nulls("null_expansion_v2", "2.0")
+
+
+@query("SELECT o_custkey FROM orders WHERE o_orderkey % 3 > 0")
+def required_of_nulls(spark, sf):
+    path = _as(spark, sf, "orders", {"o_custkey": f"CASE WHEN {_KEPT} THEN o_custkey END"}, None)
+    return C.required(scan(spark, path), "o_custkey")
+
+
+@query("SELECT count(*) AS n_rows, round(sum(CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END), 2) AS sum_p FROM orders")
+def totals_of_nulls(spark, sf):
+    path = _as(spark, sf, "orders", {"p": f"CASE WHEN {_KEPT} THEN o_totalprice END"}, None)
+    return S.column_totals(scan(spark, path), ["p"])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders")
+def empty_files(spark, sf):
+    """Files without rows beside others."""
+    path, rows = new_folder(spark), table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    rows.where("o_orderkey < 0").write.parquet(f"{path}/a")
+    rows.write.parquet(f"{path}/b")
+    rows.where("o_orderkey < 0").write.parquet(f"{path}/c")
+    return scan(spark, [f"{path}/{x}" for x in "abc"])
+
+
+@query("SELECT count(*) AS n_rows FROM orders")
+def checksums(spark, sf):
+    """All pages decoded with their checksums verified."""
+    return spark.createDataFrame([(strict_count(spark, _known(spark, sf)),)], "n_rows long")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS o_custkey, CASE WHEN o_orderkey % 2 = 1 THEN o_totalprice END AS o_totalprice FROM orders")
+def merged_schemas(spark, sf):
+    """Files that lack a column of the others."""
+    path, rows = new_folder(spark), table(spark, sf, "orders")
+    rows.where("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey").write.parquet(f"{path}/a")
+    rows.where("o_orderkey % 2 = 1").select("o_orderkey", "o_totalprice").write.parquet(f"{path}/b")
+    return scan(spark, [f"{path}/a", f"{path}/b"]).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("SELECT s_suppkey, s_acctbal::DECIMAL(15,2)::VARCHAR AS v FROM supplier")
+def decimal_byte_array(spark, sf):
+    """Unscaled values in byte arrays of as many bytes as each needs."""
+
+    def make(t: pa.Table) -> pa.Table:
+        def least(v: int) -> bytes:
+            return v.to_bytes((v if v >= 0 else -v - 1).bit_length() // 8 + 1, "big", signed=True)
+
+        return t.set_column(1, "v", pa.array([None if v is None else least(v) for v in t.column("v").to_pylist()], pa.binary()))
+
+    path = _as(spark, sf, "supplier", {"s_suppkey": "s_suppkey", "v": "cast(round(s_acctbal * 100) AS bigint)"}, make)
+    return scan(spark, path).select("s_suppkey", V.decimal_of_bytes("v", 15, 2).cast("string").alias("v"))
+
+
+@query("SELECT o_orderkey, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS days, epoch_ms(o_orderdate) AS ms FROM orders")
+def date_and_millis_stored(spark, sf):
+    """DATE and TIMESTAMP(MILLIS) columns, as stored."""
+    columns = {"o_orderkey": "o_orderkey", "d": "cast(o_orderdate AS date)", "ms": "unix_micros(cast(o_orderdate AS timestamp)) div 1000"}
+    path = _as(spark, sf, "orders", columns, _cast(ms=pa.timestamp("ms")))
+    return scan(spark, path, physical=True).select("o_orderkey", F.col("d").cast("long").alias("days"), "ms")
