@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -11,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from lakescan.session import shared_folder
+
 #: White space of the word contract: space and the bytes 0x09 to 0x0D.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -19,21 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            return jvm_dir.get()
-        found = f"file://{tempfile.mkdtemp(prefix='lakescan-')}"
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+#: Folders that this process has written, for clear().
+_FOLDERS: set[str] = set()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.add(path)
+    return path
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -47,10 +42,18 @@ def forget(*frames: DataFrame) -> None:
     """Delete written tables that no lazy plan reads any more."""
     for df in frames:
         for file in df.inputFiles()[:1]:
-            folder = file.rsplit("/", 1)[0]
-            spark = df.sparkSession
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, file.rsplit("/", 1)[0])
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that operators have written for results which have been read or saved by now."""
+    while _FOLDERS:
+        _delete(spark, _FOLDERS.pop())
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager

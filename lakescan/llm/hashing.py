@@ -113,3 +113,54 @@ class Bitmap:
     def has(self, hashes: np.ndarray) -> np.ndarray:
         at = hashes.view(np.uint64) & np.uint64((1 << self.bits) - 1)
         return (self.table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    @classmethod
+    def repeated(cls, df: DataFrame, column: str, hashes, bits: int = 26, low: int = 20, held: int = 1 << 20) -> Bitmap:
+        """Of hashes that stand more than once: hashes(value) gives those of each value of a column, and they never
+        become rows. Tasks send the bits that they meet, packed by parts of the table; a part's come to one task, which
+        holds two tables of its size; the driver gets the table."""
+        import pyarrow as pa
+
+        schema = "part int, data binary"
+
+        def batch(parts, data):
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
+
+        def packed(found: list[np.ndarray]):
+            at = np.sort(np.concatenate(found) & np.uint64((1 << bits) - 1))
+            cuts = np.searchsorted(at, np.arange(1, 1 << (bits - low), dtype=np.uint64) << np.uint64(low))
+            lows = [(x & np.uint64((1 << low) - 1)).astype("<u4") for x in np.split(at, cuts)]
+            there = [i for i, x in enumerate(lows) if len(x)]
+            return batch(there, [lows[i].tobytes() for i in there])
+
+        def send(batches):
+            found, n = [], 0
+            for b in batches:
+                for value in b.column(0):
+                    found.append(hashes(value.as_py()))
+                    n += len(found[-1])
+                    if n >= held:
+                        yield packed(found)
+                        found, n = [], 0
+            if n:
+                yield packed(found)
+
+        def merge(batches):
+            at, once, twice = None, None, None
+            for b in batches:
+                for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if part != at:
+                        if at is not None:
+                            yield batch([at], [np.packbits(twice, bitorder="little").tobytes()])
+                        at, once, twice = part, np.zeros(1 << low, bool), np.zeros(1 << low, bool)
+                    own, n = np.unique(np.frombuffer(data, "<u4"), return_counts=True)
+                    twice[own[(n > 1) | once[own]]] = True
+                    once[own] = True
+            if at is not None:
+                yield batch([at], [np.packbits(twice, bitorder="little").tobytes()])
+
+        sent = df.select(column).mapInArrow(send, schema)
+        out = cls(bits)
+        for r in sent.repartition("part").sortWithinPartitions("part").mapInArrow(merge, schema).collect():
+            out.table[r.part << (low - 3) : (r.part + 1) << (low - 3)] = np.frombuffer(r.data, np.uint8)
+        return out

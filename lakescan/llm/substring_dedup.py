@@ -4,13 +4,13 @@ The work is split by anchors. Of the 43 spans of 8 words in a window the one wit
 same windows have the same anchor at the same place, so each anchor is a shard of its own. Consecutive windows with one
 anchor make a run, and runs are what is dealt:
 
-1. anchors that occur in documents with different ids are found by a minimum and a maximum (combined before the
-   shuffle); a bitmap of them, of fixed size, is sent to all tasks, so that other runs are never shuffled;
+1. all runs are written once; anchors that occur in documents with different ids are found by a minimum and a maximum
+   (combined before the shuffle), and a bitmap of them, of fixed size, keeps all other runs from being shuffled;
 2. equal runs of an anchor are reduced to their smallest id: all windows of the others are covered by it;
 3. what is left, different runs of one anchor, goes to suffix automata: a shard's runs come by document id, each is
-   streamed through the automaton of those before it (matching statistics), and then extends it. Shards with more than
-   ``most`` runs keep hashes of their windows instead, which take less memory; those with more than ``largest`` are not
-   held in a task: their windows are grouped by hash, combined before the shuffle;
+   streamed through the automaton of those before it (matching statistics), and then extends it. An automaton holds at
+   most ``most`` runs, which bounds a task's memory; in larger shards windows are told apart by hashes of all their
+   words, and the smallest id of each that is there again is found, so that a hot anchor is no large group;
 4. what each document's runs lose is joined to its text, and the covered words are removed.
 
 The corpus is its own reference, so its automata can't be sent to every task: that grows with the data. They are built
@@ -23,13 +23,14 @@ others. Repeated rows are each returned. Extra columns are not read. An empty ta
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, written
+from .common import map_texts, text_slices, written
 from .hashing import Bitmap, mixed, spans, word_hashes, words_of
 
 ANCHOR = 8
@@ -154,70 +155,70 @@ def covered_in_shard(runs: list[tuple[int, int, list]], window: int) -> list[lis
     return out
 
 
-class Seen:
-    """The same for a large shard, one document after another: hashes of the windows before, in place of an automaton."""
+RUN = "doc long, row long, anchor long, key long, first int, count int"
 
-    def __init__(self, window: int):
-        self.window, self.before, self.own, self.doc = window, set(), set(), None
 
-    def covered(self, doc: int, words: bytes) -> list[int]:
-        if doc != self.doc:
-            self.before |= self.own
-            self.own, self.doc = set(), doc
-        hashes = spans(word_hashes(words), self.window).tolist()
-        self.own.update(hashes)
-        return [k for k, h in enumerate(hashes) if h in self.before]
+def _scan(docs: DataFrame, window: int, words_of_runs: tuple[Bitmap, Bitmap] | None = None) -> DataFrame:
+    """One row per run: doc, row (hash of the text), anchor, key, first, count.
 
-
-def _scan(docs: DataFrame, window: int, keep: Bitmap | None, words: Bitmap | None = None) -> DataFrame:
-    """One row per run whose anchor is kept: doc, row (hash of the text), anchor, key, first, count.
-
-    words: only runs with a key in it, and with their words.
+    words_of_runs: (documents, keys); only their runs, and with their words.
     """
-    shared = [docs.sparkSession.sparkContext.broadcast(b) if b is not None else None for b in (keep, words)]
-    schema = "doc long, row long, anchor long, key long, first int, count int" + (", words binary" if words is not None else "")
+    shared = docs.sparkSession.sparkContext.broadcast(words_of_runs) if words_of_runs else None
+    kinds = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32)
 
     def make():
-        anchors, keys = (b.value if b is not None else None for b in shared)
+        own, keys = shared.value if shared else (None, None)
 
         def step(texts, ids):
             out, texts_out = [[] for _ in range(6)], []
-            for doc, row, text in zip(ids["doc"], ids["row"], texts):
+            wanted = own.has(np.array(ids["doc"], np.int64)) if own else np.ones(len(texts), bool)
+            for doc, row, text, there in zip(ids["doc"], ids["row"], texts, wanted.tolist()):
+                if not there:
+                    continue
                 r = Runs(word_hashes((text or "").encode("utf-8", "surrogatepass")), window)
-                which = np.arange(len(r.first)) if anchors is None else np.flatnonzero(anchors.has(r.anchor))
-                if keys is not None and len(which):
-                    which = which[keys.has(r.key[which])]
+                which = np.arange(len(r.first)) if keys is None else np.flatnonzero(keys.has(r.key))
                 if not len(which):
                     continue
-                for c, v in zip(out, (np.full(len(which), doc, np.int64), np.full(len(which), row, np.int64), r.anchor[which], r.key[which], r.first[which].astype(np.int32), r.count[which].astype(np.int32))):
-                    c.append(v)
+                for c, v, k in zip(out, (np.full(len(which), doc), np.full(len(which), row), r.anchor[which], r.key[which], r.first[which], r.count[which]), kinds):
+                    c.append(v.astype(k))
                 if keys is not None:
                     all_words = words_of(text)
                     texts_out += [b" ".join(all_words[r.first[k] : r.first[k] + r.count[k] + window - 1]) for k in which]
-            kinds = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32)
             found = {n: np.concatenate(c) if c else np.zeros(0, k) for n, c, k in zip(("doc", "row", "anchor", "key", "first", "count"), out, kinds)}
             return found | ({"words": texts_out} if keys is not None else {})
 
         return step
 
-    return map_texts(_ids(docs), ["doc", "row"], "text", make, schema)
+    return map_texts(_ids(docs), ["doc", "row"], "text", make, RUN + (", words binary" if words_of_runs else ""))
+
+
+def _of_anchors(runs: DataFrame, anchors: Bitmap) -> DataFrame:
+    shared = runs.sparkSession.sparkContext.broadcast(anchors)
+
+    def run(batches):
+        bitmap = shared.value
+        for b in batches:
+            yield b.filter(pa.array(bitmap.has(b.column(2).to_numpy())))
+
+    return runs.mapInArrow(run, RUN)
 
 
 def _ids(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("row"), "text")
 
 
-def _by_shard(runs: DataFrame, window: int, most: int) -> DataFrame:
+def _by_shard(runs: DataFrame, window: int) -> DataFrame:
     """anchor, key, covered (windows of the run): shards are read one after another from sorted rows."""
 
     def run(batches):
-        shard, at, out, seen = [], None, ([], [], []), None
+        shard, at, out = [], None, ([], [], [])
 
         def close():
             if shard:
                 for (_, _, _, anchor, key), hit in zip(shard, covered_in_shard([x[:3] for x in shard], window)):
-                    for c, v in zip(out, (anchor, key, hit)):
-                        c.append(v)
+                    if hit:
+                        for c, v in zip(out, (anchor, key, hit)):
+                            c.append(v)
 
         def batch():
             made = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32()))], ["anchor", "key", "covered"])
@@ -226,82 +227,131 @@ def _by_shard(runs: DataFrame, window: int, most: int) -> DataFrame:
             return made
 
         for b in batches:
-            for anchor, doc, key, count, words, n in zip(*(c.to_pylist() for c in b.columns)):
+            for anchor, doc, key, count, words in zip(*(c.to_pylist() for c in b.columns)):
                 if anchor != at:
                     close()
-                    shard, at, seen = [], anchor, Seen(window) if n > most else None
-                if seen is None:
-                    shard.append((doc, count, words.split(b" "), anchor, key))
-                else:
-                    for c, v in zip(out, (anchor, key, seen.covered(doc, words))):
-                        c.append(v)
+                    shard, at = [], anchor
+                shard.append((doc, count, words.split(b" "), anchor, key))
                 if len(out[0]) > 2000:
                     yield batch()
         close()
         yield batch()
 
-    ordered = runs.repartition("anchor").sortWithinPartitions("anchor", "doc", "key").select("anchor", "doc", "key", "count", "words", "n")
+    ordered = runs.repartition("anchor").sortWithinPartitions("anchor", "doc", "key").select("anchor", "doc", "key", "count", "words")
     return ordered.mapInArrow(run, "anchor long, key long, covered array<int>")
 
 
 def _by_window(runs: DataFrame, window: int) -> DataFrame:
-    """The same for shards of any size: each window by its hash, with the smallest id that has it."""
+    """The same for shards of any size, by hashes of windows; windows never become rows, but those that stand first.
+
+    Of a window that is there again all but those of its smallest id are covered. A bitmap says which are there again;
+    the smallest id of each is found (combined in batches and before the shuffle), and a document gets the list of those
+    that are its own. What is only taken for there again has its own id as the smallest.
+    """
+
+    def hashes(words: bytes) -> np.ndarray:
+        return spans(word_hashes(words), window)
+
+    again = runs.sparkSession.sparkContext.broadcast(Bitmap.repeated(runs, "words", hashes))
+
+    def firsts(batches):
+        for b in batches:
+            own = [hashes(w.as_py()) for w in b.column(1)]
+            docs = np.repeat(b.column(0).to_numpy(), [len(x) for x in own])
+            flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
+            there = again.value.has(flat)
+            flat, docs = flat[there], docs[there]
+            order = np.lexsort((docs, flat))
+            flat, docs = flat[order], docs[order]
+            new = np.append(True, flat[1:] != flat[:-1])[: len(flat)]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[new].view(np.int64)), pa.array(docs[new])], ["hash", "doc"])
+
+    first = runs.select("doc", "words").mapInArrow(firsts, "hash long, doc long").groupBy("hash").agg(F.min("doc").alias("doc"))
+    lists = first.groupBy("doc").agg(F.collect_list("hash").alias("firsts"))
 
     def run(batches):
         for b in batches:
-            out = [[] for _ in range(5)]
-            for anchor, doc, key, words in zip(*(c.to_pylist() for c in b.columns)):
-                own = spans(word_hashes(words), window).view(np.int64)
-                for c, v in zip(out, (np.full(len(own), anchor), np.full(len(own), doc), np.full(len(own), key), np.arange(len(own)), own)):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out], ["anchor", "doc", "key", "place", "hash"])
-
-    each = runs.select("anchor", "doc", "key", "words").mapInArrow(run, "anchor long, doc long, key long, place long, hash long")
-    first = each.groupBy("anchor", "hash").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1")
-    hit = each.join(first, ["anchor", "hash"]).where("doc > least")
-    return hit.groupBy("anchor", "key").agg(F.transform(F.array_sort(F.collect_set("place")), lambda x: x.cast("int")).alias("covered"))
-
-
-def covered_windows(docs: DataFrame, window: int = 50, most: int = 500, largest: int = 50_000) -> DataFrame:
-    """doc, row, windows: array of (first, count), ranges of windows that start in a document with a smaller id too."""
-    shared = _scan(docs, window, None).groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor")
-    anchors = Bitmap.of(shared, "anchor")
-    runs = written(_scan(docs, window, anchors), "runs")
+            anchors, keys, out = [], [], []
+            for anchor, key, words, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                h = hashes(words.as_py())
+                lost = again.value.has(h)
+                if own.is_valid:
+                    lost &= ~np.isin(h, own.values.to_numpy().view(np.uint64))
+                if lost.any():
+                    anchors.append(anchor)
+                    keys.append(key)
+                    out.append(np.flatnonzero(lost).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(keys, pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["anchor", "key", "covered"])
+
+    return runs.join(lists, "doc", "left").select("anchor", "key", "words", "firsts").mapInArrow(run, "anchor long, key long, covered array<int>")
+
+
+def covered_windows(docs: DataFrame, window: int = 50, most: int = 500) -> DataFrame:
+    """doc, row, runs: array of (first, count, places): of the windows from first on, those at places, or all if null,
+    start in a document with a smaller id too."""
+    every = written(_scan(docs, window), "all-runs")
+    shared = every.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor")
+    runs = written(_of_anchors(every, Bitmap.of(shared, "anchor")), "runs")
     least = runs.groupBy("anchor", "key").agg(F.min("doc").alias("least"))
     sizes = least.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     open_ = written(least.join(sizes, "anchor"), "open-runs")
-    with_words = _scan(docs, window, anchors, Bitmap.of(open_, "key")).withColumnRenamed("doc", "least")
+    with_words = _scan(docs, window, (Bitmap.of(open_, "least"), Bitmap.of(open_, "key"))).withColumnRenamed("doc", "least")
     once = with_words.join(open_, ["anchor", "key", "least"]).dropDuplicates(["anchor", "key", "least"])
     texts = written(once.select("anchor", "key", F.col("least").alias("doc"), "count", "words", "n"), "open-words")
-    covered = _by_shard(texts.where(F.col("n") <= largest), window, most).unionByName(_by_window(texts.where(F.col("n") > largest), window))
-    found = least.join(covered.where(F.size("covered") > 0), ["anchor", "key"], "left")
-    every = runs.join(found, ["anchor", "key"]).where("doc > least OR covered IS NOT NULL")
-    some = F.transform("covered", lambda k: F.struct((F.col("first") + k).alias("first"), F.lit(1).alias("count")))
-    ranges = F.when(F.col("doc") > F.col("least"), F.array(F.struct("first", "count"))).otherwise(some)
-    return every.select("doc", "row", F.explode(ranges).alias("w")).groupBy("doc", "row").agg(F.collect_set("w").alias("windows"))
-
-
-def remove_repeats(docs: DataFrame, window: int = 50, most: int = 500, largest: int = 50_000) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (text of the kept words, joined by a space), kept_sha256."""
+    covered, hot = _by_shard(texts.where(F.col("n") <= most), window), texts.where(F.col("n") > most)
+    if not hot.isEmpty():
+        covered = covered.unionByName(_by_window(hot, window))
+    found = least.join(covered, ["anchor", "key"], "left")
+    lost = runs.join(found, ["anchor", "key"]).where("doc > least OR covered IS NOT NULL")
+    places = F.when(F.col("doc") <= F.col("least"), F.col("covered"))
+    # Equal rows have equal runs; both aggregations use the one partitioning, and the join with texts too.
+    once = lost.select("doc", "row", "first", "count", places.alias("places")).repartition("doc", "row").dropDuplicates(["doc", "row", "first"])
+    return once.groupBy("doc", "row").agg(F.collect_list(F.struct("first", "count", "places")).alias("runs"))
+
+
+def _lost(n_words: int, first: np.ndarray, count: np.ndarray, places: pa.Array, window: int) -> np.ndarray:
+    """Which words of a text the covered windows of its runs hold."""
+    whole = places.is_null().to_numpy(zero_copy_only=False)
+    some = places.filter(places.is_valid())
+    starts = np.concatenate([first[whole], np.repeat(first[~whole], np.diff(some.offsets.to_numpy())) + some.flatten().to_numpy()])
+    ends = np.concatenate([first[whole] + count[whole], starts[int(whole.sum()) :] + 1]) + window - 1
+    edges = np.bincount(starts, minlength=n_words + 1) - np.bincount(ends, minlength=n_words + 1)
+    return np.cumsum(edges)[:-1] > 0
+
+
+def remove_repeats(docs: DataFrame, window: int = 50, most: int = 500, with_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (text of the kept words, joined by a space), kept_sha256.
+
+    with_text=False leaves kept null.
+    """
     schema = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
-    rows = _ids(docs).join(covered_windows(docs, window, most, largest), ["doc", "row"], "left")
+    names = [x.split()[0] for x in schema.split(", ")]
+    rows = _ids(docs).join(covered_windows(docs, window, most), ["doc", "row"], "left")
 
     def run(batches):
         for b in batches:
-            out = []
-            for doc, text, windows in zip(*(c.to_pylist() for c in b.columns)):
-                words = words_of(text)
-                gone = np.zeros(len(words) + 1, np.int64)
-                for w in windows or ():
-                    gone[w["first"]] += 1
-                    gone[w["first"] + w["count"] + window - 1] -= 1
-                lost = np.cumsum(gone)[:-1] > 0
-                kept = b" ".join(w for w, x in zip(words, lost.tolist()) if not x) if lost.any() else b" ".join(words)
-                out.append((None if doc == NO_ID else doc, len(words), int(lost.sum()), kept.decode("utf-8", "surrogatepass"), hashlib.sha256(kept).hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(list(zip(*out)) or [()] * 5, kinds)], [x.split()[0] for x in schema.split(", ")])
-
-    return rows.select("doc", "text", "windows").mapInArrow(run, schema)
+            runs = b.column(2)
+            offsets, there = runs.offsets.to_numpy(), runs.is_valid().to_numpy(zero_copy_only=False)
+            first, count, places = (runs.values.field(k) for k in range(3))
+            first, count = first.to_numpy(), count.to_numpy()
+            for start, stop in text_slices(b.column(1)):
+                out = [[] for _ in names]
+                docs_, texts = (b.column(k).slice(start, stop - start).to_pylist() for k in (0, 1))
+                for i, doc, text in zip(range(start, stop), docs_, texts):
+                    words, removed = words_of(text), 0
+                    if there[i]:
+                        own = slice(offsets[i], offsets[i + 1])
+                        lost = _lost(len(words), first[own], count[own], places.slice(own.start, own.stop - own.start), window)
+                        n, removed = len(words), int(lost.sum())
+                        kept = b" ".join(compress(words, (~lost).tolist()))
+                    else:
+                        n, kept = len(words), b" ".join(words)
+                    text = kept.decode("utf-8", "surrogatepass") if with_text else None
+                    for c, v in zip(out, (None if doc == NO_ID else doc, n, removed, text, hashlib.sha256(kept).hexdigest())):
+                        c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names)
+
+    return rows.select("doc", "text", "runs").mapInArrow(run, schema)
 
 
 #: DuckDB SQL of the query: all windows of all documents, with the smallest id of each.
