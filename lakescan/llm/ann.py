@@ -5,8 +5,10 @@ Hilbert curve. Each order is range-partitioned by Spark; a query goes to the par
 there all of the window's rows are ranked again by distance between the original vectors, in double precision. The
 windows of all curves are merged.
 
-A window is a share of all rows: vectors without structure have no good order in few dimensions, so a window of fixed
-size would lose recall as the table grows. (On isotropic vectors of 64 dimensions most rows have to be looked at.)
+A window is ``window`` rows of each order, or a ``share`` of all rows where that is more. Vectors with structure (most
+embeddings) have good orders, and windows of a fixed size serve tables of any size. Vectors without structure have no
+good order in few dimensions: there only a share of all rows keeps recall as the table grows, and with it nearly all
+rows are looked at for each query (see the README for figures).
 
 Of equal vectors only the ``k`` + 1 smallest ids can be results; the others are not candidates. Vectors that are null,
 zero, of another length than most (the shortest of equally frequent ones), or that hold nulls or non-finite numbers
@@ -79,12 +81,12 @@ def is_query(vec_id: Column) -> Column:
 
 
 def nearest(
-    vectors: DataFrame, queries: Column | None = None, k: int = 10, curves: int = 8, dims: int = 4, share: float = 0.24, least: int = 200, seed: int = 11, block: int = 20_000
+    vectors: DataFrame, queries: Column | None = None, k: int = 10, curves: int = 8, dims: int = 4, window: int = 400, share: float = 0.0, seed: int = 11, block: int = 20_000
 ) -> DataFrame:
     """query_id, rank, vec_id, score: up to k nearest of each query of (vec_id, embedding).
 
-    queries: a condition on vec_id; share, least: of rows in a window, and at least so many; block: queries that a task
-    holds at once.
+    queries: a condition on vec_id; window, share: rows of each order that are looked at for a query, a number or a part
+    of all, whichever is more; block: queries that a task holds at once.
     """
     spark = vectors.sparkSession
     v = F.col("v")
@@ -102,27 +104,47 @@ def nearest(
     kept = rows.distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).drop("r")
     ordered = _ordered(kept.withColumn("query", F.lit(False)).unionByName(asked.withColumn("query", F.lit(True))), made)
 
-    counts = sorted((r.part, r.first, r.n, r.q) for r in ordered.groupBy("part").agg(F.min("curve").alias("first"), F.count("*").alias("n"), F.sum(F.col("query").cast("int")).alias("q")).collect())
-    starts = np.cumsum([0] + [c[2] for c in counts])  # a row for each write task
-    total = int(starts[-1]) // curves
-    half = max(int(share * total / 2), least)
-    offset = F.element_at(F.create_map(*(F.lit(int(x)) for c, s in zip(counts, starts) for x in (c[0], s))), F.col("part"))
-    ranked = ordered.withColumn("at", offset + F.col("place"))
-    begin = F.col("curve") * total
-    low, high = F.greatest(F.col("at") - half, begin), F.least(F.col("at") + half, begin + total - 1)
-    parts = F.array(*(F.struct(F.lit(c[0]).alias("part"), F.lit(int(a)).cast("long").alias("a"), F.lit(int(b)).cast("long").alias("b")) for c, a, b in zip(counts, starts, starts[1:])))
-    met = F.transform(F.filter(parts, lambda p: (p["a"] <= F.col("high")) & (p["b"] > F.col("low"))), lambda p: p["part"])
-    blocks = max(1, -(-2 * sum(c[3] for c in counts) // (curves * block)))
-    mine = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    probes = ranked.where("query").withColumns({"low": low, "high": high}).select("id", "v", "at", "low", "high", mine.alias("block"), F.explode(met).alias("part"), F.lit(0).alias("kind"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    others = ranked.where("NOT query").select("id", "v", "at", F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high"), every, "part", F.lit(1).alias("kind"))
-    dealt = probes.unionByName(others).repartition(len(counts) * blocks, "part", "block").sortWithinPartitions("part", "block", "kind", "at")
-    found = dealt.select("part", "block", "kind", "id", "at", "low", "high", "v").mapInArrow(lambda b: _windows(b, k), "query_id long, vec_id long, score double")
+    counts = sorted((r.part, r.n, r.q) for r in ordered.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.col("query").cast("int")).alias("q")).collect())
+    places = Places([c[0] for c in counts], [c[1] for c in counts], curves, window, share)  # two numbers for each write task
+    blocks = max(1, -(-2 * sum(c[2] for c in counts) // (curves * block)))
+    shared = spark.sparkContext.broadcast(places)
+    dealt = ordered.select("part", "place", "curve", "id", "query", "v").mapInArrow(lambda b: shared.value.deal(b, blocks), "part int, block int, kind int, id long, at long, low long, high long, v array<double>")
+    dealt = dealt.repartition(len(counts) * blocks, "part", "block").sortWithinPartitions("part", "block", "kind", "at")
+    found = dealt.mapInArrow(lambda b: _windows(b, k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+class Places:
+    """Where each part of the orders begins, all curves one after another; and to which parts a row has to go."""
+
+    def __init__(self, parts: list[int], sizes: list[int], curves: int, window: int, share: float):
+        self.parts, self.starts = np.array(parts, np.int64), np.cumsum([0, *sizes])
+        self.total = int(self.starts[-1]) // curves
+        self.half = max(int(share * self.total / 2), window // 2)
+
+    def deal(self, batches, blocks: int):
+        """Of (part, place, curve, id, query, v): a query for each part that its window meets, others for each block."""
+        for b in batches:
+            part, place, curve, ids = (b.column(i).to_numpy().astype(np.int64) for i in range(4))
+            query = b.column(4).to_numpy(zero_copy_only=False).astype(bool)
+            at = self.starts[np.searchsorted(self.parts, part)] + place
+            low = np.maximum(at - self.half, curve * self.total)
+            high = np.minimum(at + self.half, (curve + 1) * self.total - 1)
+            first = np.where(query, np.searchsorted(self.starts, low, "right") - 1, 0)
+            last = np.where(query, np.searchsorted(self.starts, high, "right") - 1, blocks - 1)
+            copies = last - first + 1
+            of = np.repeat(np.arange(len(at)), copies)
+            step = np.arange(len(of)) - np.repeat(np.cumsum(copies) - copies, copies) + first[of]
+            asked = query[of]
+            to = np.where(asked, self.parts[np.where(asked, step, 0)], part[of])
+            block = np.where(asked, ids[of] * 0x9E3779B1 % (1 << 32) * blocks >> 32, step)
+            for i in range(0, len(of), 10_000):  # copies of a row may be many
+                k = slice(i, i + 10_000)
+                columns = [pa.array(x[k].astype(np.int32)) for x in (to, block, ~asked)] + [pa.array(x[of[k]]) for x in (ids, at, low, high)]
+                yield pa.RecordBatch.from_arrays([*columns, b.column(5).take(pa.array(of[k]))], ["part", "block", "kind", "id", "at", "low", "high", "v"])
+
+
 def _ranges(rows: DataFrame, made: Curves) -> tuple[np.ndarray, np.ndarray]:
     """Least and largest projections of all vectors; one row for each task and axis."""
 

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow.dataset as ds
 import pytest
 
-from lakescan.llm.ann import hilbert
+from lakescan.llm.ann import Places, hilbert, nearest
 from lakescan.llm.queries import op9_nearest
 
 from .helpers import CLASHING
@@ -50,6 +50,35 @@ def save(spark, tmp_path, rows, name="e"):
     return os.path.join(tmp_path, name)
 
 
+def structured(n, seed=2):
+    """Vectors of 64 numbers that lie near a surface of four dimensions, as those of most models lie near few."""
+    r = np.random.default_rng(seed)
+    x = np.tanh(r.normal(size=(n, 4)) @ r.normal(size=(4, 64))) + r.normal(size=(n, 64)) * 0.01
+    return np.arange(n) * 5, x
+
+
+def test_small_windows_serve_vectors_with_structure(spark, tmp_path):
+    """400 rows of each of eight orders, 16 % of 20,000 rows at most, and the recall stays."""
+    ids, x = structured(20_000)
+    x = x.astype(np.float32).astype(float)
+    got = nearest(spark.read.parquet(f"{save(spark, tmp_path, [(int(i), v.tolist(), 0) for i, v in zip(ids, x)])}/embeddings.parquet"))
+    check(got.collect(), brute(ids, x), 0.9)
+
+
+def test_places_deal_windows_to_parts():
+    """Two curves of 6 rows in parts of 4, 2, 1 and 5: each query goes to every part that its window meets, others to every block."""
+    import pyarrow as pa
+
+    p = Places([3, 5, 6, 9], [4, 2, 1, 5], 2, 4, 0.0)
+    rows = [(3, 0, 0, 100, True), (3, 3, 0, 1, False), (5, 1, 0, 200, True), (6, 0, 1, 300, True), (9, 4, 1, 2, False)]
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())
+    batch = pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), pa.array([[1.0]] * 5)], ["part", "place", "curve", "id", "query", "v"])
+    got = pa.Table.from_batches(p.deal([batch], 2)).to_pylist()
+    asked = {(r["id"], r["part"], r["at"], r["low"], r["high"]) for r in got if r["kind"] == 0}
+    assert asked == {(100, 3, 0, 0, 2), (200, 3, 5, 3, 5), (200, 5, 5, 3, 5), (300, 6, 6, 6, 8), (300, 9, 6, 6, 8)}
+    assert sorted((r["id"], r["part"], r["block"], r["at"]) for r in got if r["kind"]) == [(1, 3, 0, 3), (1, 3, 1, 3), (2, 9, 0, 11), (2, 9, 1, 11)]
+
+
 def test_odd_rows_and_equal_vectors(spark, tmp_path):
     r = np.random.default_rng(0)
     x = r.normal(size=(60, 5)).astype(np.float32).astype(float)
