@@ -8,7 +8,8 @@ second p-value is the chance that ordinary characters, at the frequencies of the
 length: short runs can't reach a small one. Benjamini and Hochberg's bound over all runs of the corpus decides.
 
 One pass reads the texts. Candidates stay beside their document, so the bound is applied without a join.
-Null and empty texts have no spans. Repeated rows and ids are each scanned. Extra columns are not read.
+Null and empty texts have no spans. Repeated rows and ids are each scanned. Runs that look equally random are found or
+left together. Extra columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +119,12 @@ SCHEMA = (
 )
 
 
+def _holder(spans: list[tuple[int, int]]):
+    """Whether one of the spans (by start) holds a range: of those that start no later the one that ends last does."""
+    starts, ends = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+    return lambda start, end: bool(k := bisect_right(starts, start)) and ends[k - 1] >= end
+
+
 def _scan(docs: DataFrame) -> DataFrame:
     """One row per document, and one row per task with counts of ASCII characters in ``characters``."""
     codes, alphabets = {k: i for i, k in enumerate(ALPHABETS)}, dict(ALPHABETS)
@@ -133,12 +142,13 @@ def _scan(docs: DataFrame) -> DataFrame:
                 for doc_id, text in zip(ids[a:b], texts.slice(a, b - a).to_pylist()):
                     base, runs = base_spans(text), []
                     if text:
+                        held = _holder([(s, e) for s, _, e in base])
                         raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                         characters += np.bincount(raw, minlength=256)[:128]
                         for m in RUN.finditer(text):
                             body = m.group().rstrip("=")
                             kind = encoding_of(body) if len(body) >= 20 else None
-                            if kind and not any(s <= m.start() and m.end() <= e for s, _, e in base):
+                            if kind and not held(m.start(), m.end()):
                                 chi, chance = battery(body, alphabets[kind])
                                 runs.append({"start": m.start(), "end": m.end(), "encoding": codes[kind], "length": len(body), "chi": chi, "chance": chance})
                     n = [sum(k == i for _, k, _ in base) for i in range(3)]
@@ -201,10 +211,11 @@ def redact(docs: DataFrame, mark: str, q: float = 0.001, least_chance: float = 0
 
     def clean(text: str) -> str:
         spans = [(s, e) for s, _, e in base_spans(text)]
+        held = _holder(spans)
         for m in RUN.finditer(text):
             body = m.group().rstrip("=")
             kind = encoding_of(body) if len(body) >= 20 else None
-            if kind and not any(s <= m.start() and m.end() <= e for s, e in spans):
+            if kind and not held(m.start(), m.end()):
                 chi, chance = battery(body, ALPHABETS[kind])
                 size, x = sizes[codes[kind]]
                 shift = len(body) * x
@@ -219,11 +230,13 @@ def redact(docs: DataFrame, mark: str, q: float = 0.001, least_chance: float = 0
         return "".join(out) + text[at:]
 
     def run(batches):
-        for b in batches:
-            texts, sizes_ = b.column(len(others)).to_pylist(), b.column(len(others) + 1).to_pylist()
-            new = [clean(t) if t else t for t in texts]
-            n = [len(t) if t is not None and k is not None and t != old else k for t, old, k in zip(new, texts, sizes_)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array(new, pa.string()), pa.array(n, pa.int64())], schema.names)
+        for batch in batches:
+            for start, stop in text_slices(batch.column(len(others))):
+                b = batch.slice(start, stop - start)
+                texts, sizes_ = b.column(len(others)).to_pylist(), b.column(len(others) + 1).to_pylist()
+                new = [clean(t) if t else t for t in texts]
+                n = [len(t) if t is not None and k is not None and t != old else k for t, old, k in zip(new, texts, sizes_)]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array(new, pa.string()), pa.array(n, pa.int64())], schema.names)
 
     return docs.select(*others, "text", F.col("n_chars").cast("long").alias("n_chars")).mapInArrow(run, schema)
 

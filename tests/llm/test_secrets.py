@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -95,5 +97,90 @@ def test_battery_tells_chance_from_patterns():
     assert S.battery("ab" * 30, a)[1] < 1e-6 and S.battery("a" * 60, a)[1] < 1e-6
 
 
+def plain_battery(body, alphabet):
+    """The three tests and Fisher's method, number by number."""
+    n, size, x = len(body), len(alphabet), [alphabet.index(c) for c in body]
+    upper = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    chi = sum((body.count(c) - n / size) ** 2 / (n / size) for c in alphabet)
+    df = size - 1
+    ps = [upper(((chi / df) ** (1 / 3) - 1 + 2 / (9 * df)) / math.sqrt(2 / (9 * df)))]
+    high = [v >= size / 2 for v in x]
+    up, down = sum(high), n - sum(high)
+    if up and down:
+        runs, mean = 1 + sum(a != b for a, b in zip(high, high[1:])), 1 + 2 * up * down / n
+        var = (mean - 1) * (mean - 2) / (n - 1)
+        ps.append(2 * upper(abs(runs - mean) / math.sqrt(var)) if var > 0 else 1.0)
+    else:
+        ps.append(2.0 ** (1 - n))
+    d = [v - sum(x) / n for v in x]
+    power = sum(v * v for v in d)
+    r = sum(a * b for a, b in zip(d, d[1:])) / power if power else 1.0
+    ps.append(2 * upper(abs(r + 1 / n) * math.sqrt(n)))
+    half = -sum(math.log(max(p, 1e-300)) for p in ps)
+    return chi, math.exp(-half) * (1 + half + half**2 / 2)
+
+
+def plain_random(texts, q=0.001, least=0.005, bins=100):
+    """{text's place: its random spans}: the whole decision in loops, with Benjamini and Hochberg's rule on sorted p-values."""
+    count = {}
+    for t in texts:
+        for c in t or "":
+            count[c] = count.get(c, 0) + 1
+    found = []
+    for i, t in enumerate(texts):
+        base = [(s, e) for s, _, e in brute(t)]
+        for m in re.finditer("[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_-]))?", t or ""):
+            body = m.group().rstrip("=")
+            kind = S.encoding_of(body) if len(body) >= 20 else None
+            if kind and not any(s <= m.start() and m.end() <= e for s, e in base):
+                a = S.ALPHABETS[kind]
+                chi, chance = plain_battery(body, a)
+                total = sum(count.get(c, 0) + 1 for c in a)
+                shift = len(body) * (sum(((count.get(c, 0) + 1) / total) ** 2 for c in a) * len(a) - 1)
+                z = (len(a) - 1 + shift - chi) / math.sqrt(2 * (len(a) - 1) + 4 * shift)
+                if chance >= least:
+                    found.append((math.floor((z * z / 2 / math.log(10) if z > 0 else 0) * bins), i, m.start(), m.end()))
+    ps = sorted(10 ** (-b / bins) for b, *_ in found)
+    limit = max((p for k, p in enumerate(ps, 1) if p <= k * q / len(ps)), default=-1)
+    out = {}
+    for b, i, s, e in found:
+        if 10 ** (-b / bins) <= limit:
+            out.setdefault(i, []).append((s, e))
+    return out
+
+
+def test_random_spans_equal_plain_loops(spark):
+    """Over generated documents with keys of many lengths and encodings planted among ordinary words."""
+    r = random.Random(12)
+    docs = [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    for k in range(120):
+        a = S.ALPHABETS[r.choice(list(S.ALPHABETS))]
+        key = "".join(r.choices(a, k=r.randint(18, 80)))
+        docs.append(f"the value {key}{'=' * r.randint(0, 2)} {'x_' * r.randint(0, 20)} stands here /usr/share/some/long/path/of/a/file{k}")
+    want = plain_random(docs)
+    assert len(want) > 30
+    got = S.scan(odd(spark, [(i, t, "en", "s", 0) for i, t in enumerate(docs)])).collect()
+    assert {g.doc_id: sp for g in got if (sp := [(s.start, s.end) for s in g.spans if s.kind == "random"])} == want
+
+
+def test_bound_is_that_of_benjamini_and_hochberg():
+    r = random.Random(9)
+    for _ in range(300):
+        scores = [r.randint(0, 60) if r.random() < 0.7 else r.randint(200, 900) for _ in range(r.randint(1, 60))]
+        q, n = r.choice([0.001, 0.05, 0.3]), len(scores)
+        ps = sorted(10 ** (-b / 100) for b in scores)
+        limit = max((p for k, p in enumerate(ps, 1) if p <= k * q / n), default=-1)
+        bound = S._bound({b: scores.count(b) for b in set(scores)}, q, 100)
+        assert [b >= bound for b in scores] == [10 ** (-b / 100) <= limit for b in scores]
+
+
+def test_time_grows_with_the_length_of_texts_full_of_secrets():
+    text = " ".join(f"token={'aB3' * 8}{i}" for i in range(40_000))
+    begin = time.process_time()
+    held = S._holder([(s, e) for s, _, e in S.base_spans(text)])
+    assert all(held(m.start(), m.end()) for m in S.RUN.finditer(text))
+    assert time.process_time() - begin < 10
+
+
 def test_empty_table(spark):
     assert S.scan(odd(spark, [])).count() == 0
