@@ -35,14 +35,16 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The frame as a table in the shared folder: its lineage is cut and lost executors cost no recomputation."""
     path = new_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._folder = path
+    return found
 
 
 def forget(*frames: DataFrame) -> None:
-    """Delete written tables that no lazy plan reads any more."""
+    """Delete tables, as written() gave them, that no lazy plan reads any more."""
     for df in frames:
-        for file in df.inputFiles()[:1]:
-            _delete(df.sparkSession, file.rsplit("/", 1)[0])
+        _FOLDERS.discard(df._folder)
+        _delete(df.sparkSession, df._folder)
 
 
 def clear(spark: SparkSession) -> None:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, forget, written
 
 #: Bins of the rank; a bin is what is sorted at once.
 BINS = 1 << 16
@@ -95,7 +95,7 @@ def mix(docs: DataFrame, most: float = 3.0, cycle: int = 3, seed: str = "mix", n
     goal = goal.withColumn("certain", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = written(goal.withColumn("extra", F.col("target") - F.col("certain") * F.col("source_size")), "mix-targets")
     few = goal.count() <= MOST_BROADCAST
-    goal = written(_joined(goal, _probabilities(units, goal), False), "mix-goals")
+    sources, goal = goal, written(_joined(goal, _probabilities(units, goal), False), "mix-goals")
 
     each = units.select("source", "doc_id", "size", F.explode(F.sequence(F.lit(1), F.col("equal").cast("int"))).alias("copy_of"))
     each = _joined(each, goal.select("source", "source_size", "target", "certain", "chances"), few)
@@ -105,6 +105,7 @@ def mix(docs: DataFrame, most: float = 3.0, cycle: int = 3, seed: str = "mix", n
     among = (F.col("chance") > 0) & (F.col("chance") < 1)
     each = each.withColumn("rank", F.when(among, (u / (1 - u)) * ((1 - F.col("chance")) / F.col("chance"))))
     each = written(each.withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int")), "mix-ranked")
+    forget(units, sources)
 
     ranges = _sampled(each, goal, few, near)
     taken = _is_in(F.col("ranges")) | F.coalesce(F.struct(*PLACE) == F.col("one"), F.lit(False))
@@ -155,7 +156,7 @@ def _sampled(each: DataFrame, goal: DataFrame, few: bool, near: float) -> DataFr
         took = F.when(F.col("first").isNull(), F.coalesce("all", F.lit(0))).when(fits, F.col("first.sum")).otherwise(F.col("first.sum") - F.col("first.place.size"))
         added = F.struct("after", at.alias("upto"), F.coalesce(fits, F.lit(False)).alias("last_in"), "room")
         on = F.col("open")
-        state = written(
+        before, state = state, written(
             step.select(
                 "source", "target",
                 F.when(on, F.col("room") - took).otherwise(F.col("room")).alias("room"),
@@ -165,6 +166,7 @@ def _sampled(each: DataFrame, goal: DataFrame, few: bool, near: float) -> DataFr
             ),
             "mix-state",
         )
+        forget(before, bins)
     short = state.where(F.col("room") > free)
     if short.isEmpty():
         return state.select("source", "ranges", F.expr(f"cast(NULL AS {start})").alias("one"))

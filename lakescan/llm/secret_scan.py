@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, written
+from .common import forget, text_slices, written
 
 # The patterns of the contract, with letters of either case spelt out, and the least lengths.
 ASSIGN = re.compile(
@@ -204,7 +204,9 @@ def _decide(found: DataFrame, q: float, least_chance: float, bins: int) -> tuple
 
 def redact(docs: DataFrame, mark: str, q: float = 0.001, least_chance: float = 0.005, bins: int = 100) -> DataFrame:
     """The documents (doc_id, text, n_chars and other columns) with each found span, or run of such, replaced by mark."""
-    excess, bound = _decide(written(_scan(docs).drop("base"), "secrets"), q, least_chance, bins)
+    found = written(_scan(docs).drop("base"), "secrets")
+    excess, bound = _decide(found, q, least_chance, bins)
+    forget(found)
     others, schema = [c for c in docs.columns if c not in ("text", "n_chars")], docs.select(*(c for c in docs.columns if c not in ("text", "n_chars")), "text", "n_chars").schema
     sizes = [(len(a), x) for a, x in zip(ALPHABETS.values(), excess)]
     codes = {k: i for i, k in enumerate(ALPHABETS)}

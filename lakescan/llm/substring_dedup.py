@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, text_slices, written
+from .common import forget, map_texts, text_slices, written
 from .hashing import Bitmap, mixed, spans, word_hashes, words_of
 
 ANCHOR = 8
@@ -292,12 +292,14 @@ def covered_windows(docs: DataFrame, window: int = 50, most: int = 500) -> DataF
     every = written(_scan(docs, window), "all-runs")
     shared = every.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor")
     runs = written(_of_anchors(every, Bitmap.of(shared, "anchor")), "runs")
+    forget(every)
     least = runs.groupBy("anchor", "key").agg(F.min("doc").alias("least"))
     sizes = least.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     open_ = written(least.join(sizes, "anchor"), "open-runs")
     with_words = _scan(docs, window, (Bitmap.of(open_, "least"), Bitmap.of(open_, "key"))).withColumnRenamed("doc", "least")
     once = with_words.join(open_, ["anchor", "key", "least"]).dropDuplicates(["anchor", "key", "least"])
     texts = written(once.select("anchor", "key", F.col("least").alias("doc"), "count", "words", "n"), "open-words")
+    forget(open_)
     covered, hot = _by_shard(texts.where(F.col("n") <= most), window), texts.where(F.col("n") > most)
     if not hot.isEmpty():
         covered = covered.unionByName(_by_window(hot, window))
