@@ -63,19 +63,21 @@ class Piece:
 
 @dataclass
 class Packer:
-    """Takes pieces, gives closed sequences as lists of (piece, offset); keeps at most ``window`` pieces waiting."""
+    """Takes pieces, gives closed sequences as lists of (piece, offset); keeps at most ``window`` pieces waiting, and
+    ``held`` tokens and one piece."""
 
     size: int = 2048
     segments: int = 32
     loss: int = 1920
     window: int = 1024
+    held: int = 1 << 21
     cut: bool = True
     waiting: list[Piece] = field(default_factory=list)
 
     def __post_init__(self):
         if min(self.size, self.segments, self.loss) < 1:
             raise ValueError("limits are at least 1")
-        self._flagged = False
+        self._flagged, self._tokens = False, 0
 
     def add(self, piece: Piece) -> Iterator[list[tuple[Piece, int]]]:
         while self.cut and piece.length >= self.size <= self.loss:
@@ -87,20 +89,21 @@ class Packer:
             raise ValueError(f"{piece.key}: longer than a sequence, and cutting is off")
         self._flagged = self._flagged or piece.loss is not None
         self.waiting.append(piece)
-        if len(self.waiting) >= self.window:
+        self._tokens += piece.length
+        if len(self.waiting) >= self.window or (self.cut and self._tokens >= self.held):
             yield from self._pack(self.window // 2)
 
     def finish(self) -> Iterator[list[tuple[Piece, int]]]:
         yield from self._pack(0)
 
     def _pack(self, leave: int) -> Iterator[list[tuple[Piece, int]]]:
-        """Close sequences until no more than ``leave`` pieces wait, or what waits fills none."""
+        """Close sequences until no more than ``leave`` pieces and half of ``held`` tokens wait, or what waits fills none."""
         items = self.waiting
         need = np.array([(p.length, 1, p.loss_tokens()) for p in items], float).reshape(-1, 3)
         limits = np.array([self.size, self.segments, self.loss], float)
         share, alive = need / limits**2, np.ones(len(items), bool)
         left, tokens = len(items), float(need[:, 0].sum())
-        while left > leave and not (self.cut and leave and tokens < self.size):
+        while (left > leave or (self.cut and left and tokens > self.held // 2)) and not (self.cut and leave and tokens < self.size):
             rest, bin_ = limits.copy(), []
             while left and rest[0] > 0 and rest[1] > 0:
                 score = np.where((need <= rest).all(axis=1) & alive, share @ rest, -1.0)
@@ -131,7 +134,7 @@ class Packer:
                     alive, left = np.append(alive, np.ones(len(back), bool)), left + len(back)
             tokens -= sum(p.length for p, _ in bin_)
             yield bin_
-        self.waiting = [p for p, a in zip(items, alive) if a]
+        self.waiting, self._tokens = [p for p, a in zip(items, alive) if a], int(tokens)
 
     def _closed(self, bin_: list[tuple[Piece, int]], filled: int) -> tuple[list[tuple[Piece, int]], list[Piece]]:
         """The sequence cut at a power of two, and what is behind."""

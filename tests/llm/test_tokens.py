@@ -163,6 +163,17 @@ def test_limits_hold_together():
         assert spans[0][0] == 0 and spans[-1][1] == n and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_long_documents_do_not_pile_up():
+    """Whatever waits is bounded in tokens too, and a lone document of a million tokens is packed."""
+    packer, placed = Packer(held=50_000), 0
+    for k, n in enumerate([40_000] * 30 + [1_000_000] + [5] * 50):
+        placed += sum(p.length for b in packer.add(Piece(k, 0, n, free=n // 8)) for p, _ in b)
+        assert sum(p.length for p in packer.waiting) == packer._tokens < 50_000 + 1
+    got = list(packer.finish())
+    assert placed + sum(p.length for b in got for p, _ in b) == 40_000 * 30 + 1_000_000 + 250
+    assert all((n := sum(p.length for p, _ in b)) & (n - 1) == 0 for b in got) and not packer.waiting
+
+
 def test_whole_examples_are_not_cut():
     packer = Packer(size=100, segments=3, loss=100, cut=False, window=4)
     got = [b for n in (60, 50, 40, 50, 30, 10, 9, 8) for b in packer.add(Piece(n, 0, n))]
