@@ -22,6 +22,8 @@ from lakescan.session import shared_folder
 from lakescan.sources import footer as FT
 from lakescan.sources.arrow_files import write_arrow
 from lakescan.sources.row_groups import scan_row_groups
+from lakescan.sources.thrift_idl import idl_fields
+from lakescan.sources.thrift_schema import idl_schemas
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -659,3 +661,37 @@ def date_and_millis_stored(spark, sf):
     columns = {"o_orderkey": "o_orderkey", "d": "cast(o_orderdate AS date)", "ms": "unix_micros(cast(o_orderdate AS timestamp)) div 1000"}
     path = _as(spark, sf, "orders", columns, _cast(ms=pa.timestamp("ms")))
     return scan(spark, path, physical=True).select("o_orderkey", F.col("d").cast("long").alias("days"), "ms")
+
+
+# Interface files
+
+_IDL = """
+/* A small one, */ namespace java some.where  // with comments of all kinds
+enum Colour { RED, GREEN = 5 }  # and an enum
+struct Point { 1: required i32 x, 2: optional double y = 0.5 }
+union Shape { 1: Point point; 2: string name }
+struct All { 1: required list<Point> points; 2: map<string, set<i64>> counts 3: Colour colour = Colour.GREEN }
+"""
+
+
+def _idl(spark) -> str:
+    path = new_folder(spark)
+    spark.createDataFrame([(_IDL,)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+@query(
+    "SELECT * FROM (VALUES ('enum', 'Colour', 0, 'RED', 'i32', 'value', NULL), ('enum', 'Colour', 5, 'GREEN', 'i32', 'value', NULL), ('struct', 'Point', 1, 'x', 'i32', 'required', NULL), ('struct', 'Point', 2, 'y', 'double', 'optional', '0.5'), "
+    "('union', 'Shape', 1, 'point', 'Point', 'optional', NULL), ('union', 'Shape', 2, 'name', 'string', 'optional', NULL), ('struct', 'All', 1, 'points', 'list<Point>', 'required', NULL), "
+    "('struct', 'All', 2, 'counts', 'map<string,set<i64>>', 'default', NULL), ('struct', 'All', 3, 'colour', 'Colour', 'default', 'Colour.GREEN')) AS t(kind, type_name, field_id, name, type, requirement, \"default\")"
+)
+def interface_fields(spark, sf):
+    return idl_fields(spark, _idl(spark))
+
+
+@query(
+    "SELECT * FROM (VALUES ('Point', 1, 'x', 'int', false), ('Point', 2, 'y', 'double', true), ('Shape', 1, 'point', 'struct<x:int,y:double>', true), ('Shape', 2, 'name', 'string', true), "
+    "('All', 1, 'points', 'array<struct<x:int,y:double>>', false), ('All', 2, 'counts', 'map<string,array<bigint>>', true), ('All', 3, 'colour', 'int', true)) AS t(type_name, field_id, name, spark_type, nullable)"
+)
+def interface_schemas(spark, sf):
+    return idl_schemas(spark, _idl(spark))
