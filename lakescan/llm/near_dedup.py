@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, map_texts, written
+from .common import batches_of, forget, map_texts, written
 from .components import components
 from .hashing import Bitmap, mixed, spans, word_hashes
 
@@ -67,6 +67,11 @@ def node_of(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.astype("<u8").tobytes())
 
 
+def sig_of(minima: np.ndarray) -> bytes:
+    """The low byte of each minimum: minima crowd towards 0 as sets grow, so their upper bytes agree by chance."""
+    return (minima & np.uint32(255)).astype(np.uint8).tobytes()
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text")
 
@@ -84,7 +89,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 "n": [len(s) for s in sets],
                 "node": [node_of(s) if len(s) else None for s in sets],
                 "keys": [Signer.keys(m) if m is not None else [] for m in minima],
-                "sig": [(m >> np.uint32(24)).astype(np.uint8).tobytes() if m is not None else None for m in minima],
+                "sig": [sig_of(m) if m is not None else None for m in minima],
             }
 
         return step
@@ -158,6 +163,7 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     with batches_of(docs.sparkSession, 1000):
         some = map_texts(_rows(docs), ["doc"], "text", make, "doc long, node binary, set binary")
         sets = written(some.join(wanted.select("node", F.col("least").alias("doc")), ["node", "doc"]).dropDuplicates(["node", "doc"]).select("node", "set"), "sets")
+    forget(wanted)
     return sets
 
 
@@ -178,14 +184,16 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["u", "v"])
 
     with batches_of(docs.sparkSession, 200):  # a row is two whole sets
-        return written(both.select("a", "b", "x", "y").mapInArrow(compare, "u binary, v binary"), "links")
+        links = written(both.select("a", "b", "x", "y").mapInArrow(compare, "u binary, v binary"), "links")
+    forget(sets)
+    return links
 
 
 ROW = "key long, i int, j int, node binary, n long, root binary, own int, sig binary, keys array<long>"
 
 
-def _open_blocks(buckets: DataFrame, roots: DataFrame, signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """ROW: the classes of buckets with several components, each bucket in blocks, each pair of blocks (i, j) once."""
+def _open_blocks(buckets: DataFrame, roots: DataFrame, signed: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ROW, a table that it reads): the classes of buckets with several components, each bucket in blocks, each pair of blocks (i, j) once."""
     labelled = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = labelled.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size"), F.sum("n").alias("all"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
@@ -194,7 +202,7 @@ def _open_blocks(buckets: DataFrame, roots: DataFrame, signed: DataFrame, classe
     sigs = signed.select("node", "doc", "sig", "keys").join(nodes, ["node", "doc"]).dropDuplicates(["node", "doc"]).select("node", "sig", "keys")
     placed = rows.join(sigs, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return _together(dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select(*(x.split()[0] for x in ROW.split(", "))))
+    return _together(dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select(*(x.split()[0] for x in ROW.split(", ")))), rows
 
 
 def _together(rows: DataFrame) -> DataFrame:
@@ -277,8 +285,11 @@ def _all_links(docs: DataFrame, classes: DataFrame, rows: DataFrame, percent: in
         return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
     with batches_of(docs.sparkSession, 500):
-        whole = _together(some.join(_sets(docs, classes, some.select("node")), "node").select(*names, "set"))
-        return written(whole.mapInArrow(lambda b: _groups(b, compare), "u binary, v binary").distinct(), "links")
+        sets = _sets(docs, classes, some.select("node"))
+        whole = _together(some.join(sets, "node").select(*names, "set"))
+        links = written(whole.mapInArrow(lambda b: _groups(b, compare), "u binary, v binary").distinct(), "links")
+    forget(sets, some)
+    return links
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, tried: int = 2, agree: float = 0.58) -> DataFrame:
@@ -294,12 +305,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, tried: int = 2, agree: f
     pairs = _leaders(buckets, percent, tried)
     links = _confirmed(docs, classes, pairs, percent)
     roots = written(components(links), "roots")
-    again = written(_partners(_open_blocks(buckets, roots, signed, classes), percent, agree, tried).join(_ordered(pairs), ["a", "b"], "left_anti"), "pairs")
+    blocks, read = _open_blocks(buckets, roots, signed, classes)
+    again = written(_partners(blocks, percent, agree, tried).join(_ordered(pairs), ["a", "b"], "left_anti"), "pairs")
+    forget(read, roots)
     links = links.unionByName(_confirmed(docs, classes, again, percent))
     roots = written(components(links), "roots")
-    more = _all_links(docs, classes, _open_blocks(buckets, roots, signed, classes), percent, agree)
+    blocks, read = _open_blocks(buckets, roots, signed, classes)
+    more = _all_links(docs, classes, blocks, percent, agree)
     if not more.isEmpty():
         roots = written(components(links.unionByName(more)), "roots")
+    forget(read, buckets, pairs, again)
     smallest = roots.join(classes, "node").groupBy("root").agg(F.min("least").alias("component"))
     known = classes.join(roots, "node", "left").join(smallest, "root", "left")
     known = known.select("node", F.coalesce("component", "least").alias("component"))

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from lakescan.llm.components import components
-from lakescan.llm.near_dedup import Signer, near_duplicates
+from lakescan.llm.near_dedup import Signer, near_duplicates, sig_of
 from lakescan.llm.queries import op3_near_dedup
 
 from .helpers import ODD, at, odd
@@ -91,3 +92,17 @@ def test_minima_estimate_similarity():
 
 def test_empty_table(spark, tmp_path):
     assert op3_near_dedup(spark, at(spark, tmp_path, documents=odd(spark, []))).count() == 0
+
+
+@pytest.mark.parametrize("n", [20, 350, 1000, 3000, 20_000])
+def test_signatures_of_unrelated_sets_do_not_agree(n):
+    """And those of similar ones do, as often as their minima."""
+    signer, r = Signer(), np.random.default_rng(n)
+    draw = lambda k: np.unique(r.integers(0, 2**64, k, dtype=np.uint64))
+    shared = draw(n)
+    minima = [signer.minima(np.union1d(shared, draw(n // 7))) for _ in range(6)]  # a similarity of about 0.78
+    other = [signer.minima(draw(n)) for _ in range(6)]
+    agree = lambda x, y: np.mean(np.frombuffer(sig_of(x), np.uint8) == np.frombuffer(sig_of(y), np.uint8))
+    for i in range(5):
+        assert agree(other[i], other[i + 1]) < 0.05
+        assert agree(minima[i], minima[i + 1]) >= np.mean(minima[i] == minima[i + 1]) > 0.58
