@@ -176,18 +176,19 @@ def _sampled(each: DataFrame, goal: DataFrame, few: bool, near: float) -> DataFr
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; rows with equal id, source and size in the order of text."""
+    """The rows of docs, each as often as the mix takes it; of rows with equal id, source and size the first by text get
+    what some of them have more."""
     key = ("source", "doc_id", "size")
     found = mix(docs, **options).groupBy(*key)
-    copies = found.agg(F.max("copy_of").alias("_last"), F.array_sort(F.collect_list(F.struct("copy_of", "copies"))).alias("_copies"))
-    other = copies.select(*(F.col(c).alias(f"_{c}") for c in key), "_last", "_copies")
+    least = F.min("copies")  # equal rows have as many copies, but for some that have one more
+    copies = found.agg(F.max("copy_of").alias("_last"), least.alias("_least"), (F.sum("copies") - F.max("copy_of") * least).alias("_more"))
+    other = copies.select(*(F.col(c).alias(f"_{c}") for c in key), "_last", "_least", "_more")
     sized = docs.withColumn("_words", words("text"))
     same = F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_words") == F.col("_size"))
     joined = sized.join(other, same)
-    alone = joined.where("_last = 1").withColumn("_n", F.element_at("_copies", 1)["copies"])
+    alone = joined.where("_last = 1").withColumn("_n", F.col("_least"))
     place = F.row_number().over(Window.partitionBy("_source", "_doc_id", "_size").orderBy("text"))
-    several = joined.where("_last > 1").withColumn("_place", place)
-    several = several.withColumn("_n", F.aggregate("_copies", F.lit(0).cast("long"), lambda n, x: n + F.when(x["copy_of"] == F.col("_place"), x["copies"]).otherwise(0))).drop("_place")
+    several = joined.where("_last > 1").withColumn("_n", F.col("_least") + (place <= F.col("_more")).cast("long"))
     each = alone.unionByName(several).withColumn("_each", F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int"))))
     return each.select(*docs.columns)
 
