@@ -106,3 +106,15 @@ def test_signatures_of_unrelated_sets_do_not_agree(n):
     for i in range(5):
         assert agree(other[i], other[i + 1]) < 0.05
         assert agree(minima[i], minima[i + 1]) >= np.mean(minima[i] == minima[i + 1]) > 0.58
+
+
+def test_very_long_documents_that_share_most_of_their_shingles(spark):
+    """Copies of 100,000 words, edited here and there, moved, cut to the similarity that counts and a little below it."""
+    r = random.Random(6)
+    words = [f"w{r.randint(0, 9000)}" for _ in range(100_000)]
+    edited = [f"x{i}" if i % 200 == 199 else w for i, w in enumerate(words)]
+    near, far = words[:76_000], words[:74_000]
+    own = [f"y{i}" for i in range(100_000)]
+    texts = [words, edited, words[50_000:] + words[:50_000], near, own, far[:1000] + own[1000:], ["one"] * 100_000, ["one"] * 50_000]
+    df = odd(spark, [(i, " ".join(w), "en", "s", 0) for i, w in enumerate(texts)])
+    assert rows(near_duplicates(df)) == brute(df.select("doc_id", "text").collect())
