@@ -187,13 +187,12 @@ def _ordered(rows: DataFrame, made: Curves) -> DataFrame:
 class _Best:
     """The nearest so far of the queries of one part."""
 
-    def __init__(self, rows: list[tuple], k: int):
+    def __init__(self, rows: list[tuple[np.ndarray, ...]], k: int):
         self.k = k
-        self.id, _, self.low, self.high = (np.array(c, np.int64) for c in list(zip(*rows))[:4])
-        self.x = np.array([r[4] for r in rows])
+        self.id, _, self.low, self.high, self.x = (np.concatenate(c) for c in zip(*rows))
         self.norm = (self.x**2).sum(axis=1)
-        self.ids = np.full((len(rows), 0), 0, np.int64)
-        self.scores = np.zeros((len(rows), 0))
+        self.ids = np.zeros((len(self.id), 0), np.int64)
+        self.scores = np.zeros((len(self.id), 0))
 
     def look(self, ids: np.ndarray, at: np.ndarray, y: np.ndarray) -> None:
         inside = (at[None] >= self.low[:, None]) & (at[None] <= self.high[:, None]) & (ids[None] != self.id[:, None])
@@ -214,28 +213,41 @@ class _Best:
 
 def _windows(batches, k: int, chunk: int = 1024):
     """For sorted rows of parts, queries first: the nearest of each query among the part's rows in its window."""
-    group, asked, best, held = None, [], None, []
+    group, asked, best, held, n = None, [], None, [], 0
 
     def look():
+        nonlocal n
         if held and best is not None:
-            best.look(np.array([h[0] for h in held]), np.array([h[1] for h in held]), np.array([h[4] for h in held]))
+            best.look(*(np.concatenate(c) for c in zip(*held)))
         held.clear()
+        n = 0
 
     for b in batches:
-        for part, block, kind, *row in zip(*(c.to_pylist() for c in b.columns)):
-            if (part, block) != group:
+        if not b.num_rows:
+            continue
+        part, block, kind, *numbers = (b.column(i).to_numpy() for i in range(7))
+        rows = [*numbers, _matrix(b.column(7))]
+        new = (part[1:] != part[:-1]) | (block[1:] != block[:-1]) | (kind[1:] != kind[:-1])
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
+        for start, stop in zip(cuts, cuts[1:]):
+            if (part[start], block[start]) != group:
                 look()
                 if best is not None:
                     yield best.batch()
-                group, asked, best = (part, block), [], None
-            if kind == 0:
-                asked.append(row)
+                group, asked, best = (part[start], block[start]), [], None
+            if kind[start] == 0:
+                asked.append(tuple(c[start:stop] for c in rows))
                 continue
             if asked:
                 best, asked = _Best(asked, k), []
-            if best is not None:
-                held.append(row)
-                if len(held) >= max(64, min(chunk, 2_000_000 // max(len(best.id), 1))):
+            if best is None:
+                continue
+            most = max(64, min(chunk, 2_000_000 // max(len(best.id), 1)))
+            while start < stop:
+                end = min(stop, start + most - n)
+                held.append((rows[0][start:end], rows[1][start:end], rows[4][start:end]))
+                n, start = n + end - start, end
+                if n >= most:
                     look()
     look()
     if best is not None:
