@@ -1,15 +1,14 @@
 """Language identification: nearest of several centroids per language, by cosine of normalised TF-IDF n-gram vectors.
 
-Texts become counts of hashed letter n-grams (1 to 3 letters, lower case, word ends as one mark). Document frequencies
-come from all training documents. Centroids come from spherical k-means over a bounded sample of them: the ``per_lang``
-documents of each language with the smallest hash of their id, for every language; of their whole texts. A document is
-rejected when its cosine to the nearest centroid is below a low quantile of what texts of that length have with
-centroids that were not learnt from them.
+Texts become counts of hashed letter n-grams (1 to 3 letters, lower case, word ends as one mark). Document frequencies,
+centroids and bounds come from all training documents, of their whole texts: the counts are written once, and each round
+of spherical k-means is a pass over them whose tasks add their documents up. A document is rejected when its cosine to
+the nearest centroid is below a low quantile of what texts of that length have with centroids that were not learnt from them.
 
 Null texts and texts without a letter get ``und``, score 0, and are rejected. A null language is no training label; a
 null id takes no part in training and counts as not held out. Of equally near centroids that of the first language by
-name counts. Repeated rows count each, but the sample has one row of an id and language: of several texts that with the
-smallest hash. Extra columns are passed by. With no training document every text is ``und``; an empty table gives no rows.
+name counts. Repeated rows count each. Extra columns are passed by. With no training document every text is ``und``; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, map_texts, written
@@ -28,6 +27,11 @@ from .common import forget, map_texts, written
 UND = "und"
 #: Letters of a text by powers of two: a length class has its own bound for rejection.
 CLASSES = 18
+#: Documents whose vectors a task holds at once. Vectors are added up in units of 1 / UNIT: DOCS of them are whole numbers
+#: that a float32 holds, so sums don't depend on the order of rows.
+DOCS, UNIT = 256, 1 << 15
+#: Cosines are counted in steps of 1 / STEPS, rounded down.
+STEPS = 1 << 16
 
 
 class Grams:
@@ -47,13 +51,39 @@ class Grams:
         points = np.where(mask, np.concatenate([[0], points, [0]]), 0).astype(np.uint64)
         return points[np.append(mask[1:] | mask[:-1], True)]
 
-    def counts(self, letters: np.ndarray) -> np.ndarray:
+    def keys(self, letters: np.ndarray) -> list[np.ndarray]:
+        """Slots of the n-grams of one, two and three letters, by where they begin."""
         a = letters * np.uint64(0x9E3779B97F4A7C15)
         b = (a[:-1] ^ (a[:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + letters[1:]
         c = (b[:-1] ^ (b[:-1] >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) + letters[2:]
-        keys = np.concatenate([x ^ (x >> np.uint64(32)) for x in (a, b, c)])
-        keys = keys * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)
-        return np.bincount((keys % np.uint64(self.slots)).astype(np.int64), minlength=self.slots)
+        mixed = ((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40) for x in (a, b, c))
+        return [(x % np.uint64(self.slots)).astype(np.int64) for x in mixed]
+
+    def counts(self, letters: np.ndarray) -> np.ndarray:
+        return np.bincount(np.concatenate(self.keys(letters)), minlength=self.slots)
+
+    def counts_of_beginnings(self, letters: np.ndarray, lengths: list[int]) -> np.ndarray:
+        """A row of counts for each of the ascending lengths."""
+        keys, rows, before = self.keys(letters), np.zeros((len(lengths), self.slots), np.int64), 0
+        for row, n in zip(rows, lengths):
+            new = [x[max(before - i, 0) : max(n - i, 0)] for i, x in enumerate(keys)]
+            row += np.bincount(np.concatenate(new), minlength=self.slots)
+            before = n
+        return np.cumsum(rows, axis=0)
+
+
+def packed(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Which slots have a count, as bits, and those counts, in one byte each or, if one is larger, in four."""
+    held = counts > 0
+    values = counts[held]
+    return np.packbits(held).tobytes(), values.astype(np.uint8 if values.max() < 256 else "<u4").tobytes()
+
+
+def unpacked(bits: list[bytes], values: list[bytes], slots: int) -> np.ndarray:
+    held = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1, count=slots).view(bool)
+    counts = np.zeros(held.shape, np.float32)
+    counts[held] = np.concatenate([np.frombuffer(v, np.uint8 if len(v) == n else "<u4") for v, n in zip(values, held.sum(axis=1))])
+    return counts
 
 
 @dataclass
@@ -68,7 +98,7 @@ class Model:
     bounds: np.ndarray
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts).astype(np.float32) * self.idf
+        x = np.log1p(counts.astype(np.float32, copy=False)) * self.idf
         return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
     def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,102 +112,236 @@ def length_class(n_letters: int) -> int:
     return min(int(n_letters).bit_length(), CLASSES - 1)
 
 
-def fit(training: DataFrame, slots: int = 4096, centroids: int = 4, per_lang: int = 400, low: float = 0.001, own_low: float = 0.02, seed: int = 17) -> Model:
-    """Learn from (doc_id, text, lang); low, own_low: which quantile of cosines of texts not learnt from a text must reach,
-    of those of all languages and of its own; the lower one counts."""
+def fit(training: DataFrame, slots: int = 4096, centroids: int = 4, per_lang: int | None = None, low: float = 0.001, own_low: float = 0.02, seed: int = 17) -> Model:
+    """Learn from all of (doc_id, text, lang); low, own_low: which quantile of cosines of texts not learnt from a text must
+    reach, of those of all languages and of its own; the lower one counts. per_lang: only on request, centroids and bounds
+    from so many documents of each language; no query asks for it."""
     rows = training.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    idf = _idf(rows, slots)
-    hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
-    # A language may have a third of all rows: the smallest of each of 64 parts of it (cut before the shuffle), then of those.
-    few = hashed.select("lang", "_h", F.pmod("_h", F.lit(64)).alias("_part"))
-    for key in (("lang", "_part"), ("lang",)):
-        place = F.row_number().over(Window.partitionBy(*key).orderBy("_h"))
-        few = few.withColumn("_n", place).where(F.col("_n") <= per_lang).select("lang", "_h").distinct()
-    # An id with many rows may have filled its part: the bound is no smaller for that, and what is below it is cut again.
-    upto = few.groupBy("lang").agg(F.when(F.count("*") < per_lang, F.lit(2**63 - 1)).otherwise(F.max("_h")).alias("upto"))
-    some = hashed.join(F.broadcast(upto), "lang").where("_h <= upto")
-    one = F.row_number().over(Window.partitionBy("lang", "doc_id").orderBy(F.xxhash64("text")))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
-    sample = some.withColumn("_one", one).where("_one = 1").withColumn("_n", first).where(F.col("_n") <= per_lang)
-    sample = sample.select("lang", "doc_id", F.pmod("_h", F.lit(2)).cast("int").alias("half"), "text")
-    sample = written(sample, "langid-sample")
-    found = _centroids(sample, Model(slots, idf, np.zeros((0, slots), np.float32), np.zeros(0, int), [], np.zeros((0, CLASSES))), centroids, seed)
-    model = found[2]
+    counts = written(_counts(rows, slots, seed), "langid-counts")
+    model = Model(slots, _idf(counts, slots), np.zeros((0, slots), np.float32), np.zeros(0, int), [], np.zeros((0, CLASSES)))
+    asked = None if per_lang is None else written(_few(rows, per_lang, seed), "langid-few")
+    if asked is not None:
+        forget(counts)
+        rows, counts = asked, written(_counts(asked, slots, seed), "langid-counts")
+    *halves, model = _models(counts, model, centroids)
+    forget(counts)
     if model.langs:
-        model.bounds = _bounds(sample, found, low, own_low)
-    forget(sample)
+        model.bounds = _bounds(rows, halves, model.langs, low, own_low, seed)
+    if asked is not None:
+        forget(asked)
     return model
 
 
-def _centroids(sample: DataFrame, empty: Model, centroids: int, seed: int) -> list[Model]:
-    """Models without bounds of half 0, half 1 and all of the sample; a language without one half has all in its place."""
+def _hash(seed: int) -> Column:
+    """Of the text, so equal texts are in the same half."""
+    return F.xxhash64(F.lit(seed), "text")
+
+
+def _few(rows: DataFrame, per_lang: int, seed: int) -> DataFrame:
+    """The documents of each language with the smallest hash of their id, one row of an id."""
+    one = F.row_number().over(Window.partitionBy("lang", "doc_id").orderBy(F.xxhash64("text")))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id")))
+    return rows.withColumn("_one", one).where("_one = 1").withColumn("_n", first).where(F.col("_n") <= per_lang).select("doc_id", "text", "lang")
+
+
+def _counts(rows: DataFrame, slots: int, seed: int) -> DataFrame:
+    """lang, h, bits, n: the counts of each text with a letter, as packed() gives them, and the hash of the text."""
 
     def make():
-        grams = Grams(empty.slots)
+        grams = Grams(slots)
 
         def step(texts, keys):
             letters = [grams.letters(t) for t in texts]
-            return keys | {"x": [grams.counts(x).astype("<u4").tobytes() if len(x) else None for x in letters]}
+            pairs = [packed(grams.counts(x)) if len(x) else (None, None) for x in letters]
+            return keys | {"bits": [b for b, _ in pairs], "n": [n for _, n in pairs]}
 
         return step
 
-    def learn(group):
-        group = group.sort_values(["doc_id", "x"])
-        x = empty.vectors(np.stack([np.frombuffer(b, "<u4") for b in group["x"]]).astype(np.int64))
-        halves = group["half"].to_numpy()
-        parts = [x[halves == i] if (halves == i).any() else x for i in (0, 1)] + [x]
-        rows = [(i, c.astype("<f4").tobytes()) for i, part in enumerate(parts) for c in _kmeans(part, centroids, seed)]
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "part": [i for i, _ in rows], "place": range(len(rows)), "x": [c for _, c in rows]})
+    return map_texts(rows.withColumn("h", _hash(seed)), ["lang", "h"], "text", make, "lang string, h long, bits binary, n binary").where("bits IS NOT NULL")
+
+
+def _idf(counts: DataFrame, slots: int) -> np.ndarray:
+    """Each task gives one row per slot, and one for the number of its documents."""
+
+    def run(batches):
+        seen = np.zeros(slots + 1, np.int64)
+        for b in batches:
+            for i in range(0, b.num_rows, DOCS):
+                bits = b"".join(b.column(0)[i : i + DOCS].to_pylist())
+                held = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(-1, -(-slots // 8)), axis=1, count=slots)
+                seen[:-1] += held.sum(axis=0, dtype=np.int64)
+                seen[-1] += len(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(slots + 1, dtype=np.int32)), pa.array(seen)], ["slot", "n"])
+
+    found = counts.select("bits").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    seen = np.zeros(slots + 1)
+    for r in found:
+        seen[r.slot] = r.n
+    return (np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1).astype(np.float32)
+
+
+def _models(counts: DataFrame, empty: Model, centroids: int, rounds: int = 12) -> list[Model]:
+    """Models without bounds of half 0, half 1 and all documents; a language without one half has all in its place.
 
-    counts = map_texts(sample, ["lang", "doc_id", "half"], "text", make, "lang string, doc_id long, half int, x binary")
-    rows = counts.where("x IS NOT NULL").groupBy("lang").applyInPandas(learn, "lang string, part int, place int, x binary").collect()
-    rows.sort(key=lambda r: (r.lang, r.place))
-    langs = sorted({r.lang for r in rows})
-    at = {lang: i for i, lang in enumerate(langs)}
+    Spherical k-means of each language in each of the three parts, all in the same passes. It begins as k-means++ does,
+    with draws from all documents, and ends when no centroid changes or after so many rounds."""
+    centres: dict[tuple[str, int], np.ndarray] = {}
+    for i in range(centroids):
+        drawn = _drawn(counts, empty, centres, i)
+        for key, x in drawn.items():
+            centres[key] = np.concatenate([centres[key], x]) if key in centres else x
+    for _ in range(rounds if centres else 0):
+        before, centres = centres, _moved(counts, empty, centres)
+        if all(np.array_equal(before[key], centres[key]) for key in centres):
+            break
+    langs = sorted({lang for lang, _ in centres})
 
     def model(part: int) -> Model:
-        own = [r for r in rows if r.part == part]
-        vectors = np.stack([np.frombuffer(r.x, "<f4") for r in own]) if own else empty.centroids
-        return Model(empty.slots, empty.idf, vectors, np.array([at[r.lang] for r in own], int), langs, np.zeros((len(langs), CLASSES)))
+        own = [centres.get((lang, part), centres[lang, 2]) for lang in langs]
+        vectors = np.concatenate(own) if own else empty.centroids
+        return Model(empty.slots, empty.idf, vectors, np.repeat(np.arange(len(langs)), [len(x) for x in own]), langs, np.zeros((len(langs), CLASSES)))
+
+    return [model(part) for part in range(3)]
+
 
-    return [model(i) for i in range(3)]
+def _groups(batches, model: Model):
+    """From batches of (lang, h, bits, n): (language, part, rows of the slice), for a slice of documents with its vectors."""
+    for b in batches:
+        for i in range(0, b.num_rows, DOCS):
+            lang, h, bits, n = (c.slice(i, DOCS).to_pylist() for c in b.columns)
+            h = np.array(h, np.int64).view(np.uint64)
+            langs, of = np.unique(np.array(lang, object), return_inverse=True)
+            groups = []
+            for k, name in enumerate(langs):
+                own = np.flatnonzero(of == k)
+                groups += [(name, part, x) for part in (0, 1) if len(x := own[h[own] & np.uint64(1) == part])] + [(name, 2, own)]
+            yield groups, h, bits, n, model.vectors(unpacked(bits, n, model.slots))
 
 
-def _cosines(sample: DataFrame, models: list[Model]) -> DataFrame:
-    """lang, class, cosine: of the beginnings of each text, at the least length of each class, by the half that it is not in."""
-    shared = sample.sparkSession.sparkContext.broadcast(models[:2])
+def _drawn(counts: DataFrame, model: Model, centres: dict[tuple[str, int], np.ndarray], turn: int) -> dict[tuple[str, int], np.ndarray]:
+    """By language and part a document drawn with a probability in proportion to 1 - its cosine to the nearest centre, if
+    not all documents are at one: that with the least -log(u) / weight, where u is made of the hash of its text."""
+    shared = counts.sparkSession.sparkContext.broadcast((model, centres))
+
+    def run(batches):
+        model, centres = shared.value
+        best = {}
+        for groups, h, bits, n, x in _groups(batches, model):
+            u = (h >> np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((turn + 1) * 0xD1342543DE82EF95 % 2**64)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                u = (u ^ u >> np.uint64(shift)) * np.uint64(factor)
+            far = -np.log(((u ^ u >> np.uint64(31)) >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54)
+            for lang, part, rows in groups:
+                key = far[rows]
+                if turn:
+                    weight = 1 - (x[rows] @ centres[lang, part].T).max(axis=1).astype(float)
+                    key = np.where(weight > 1e-5, key / np.maximum(weight, 1e-5), math.inf)
+                i = int(key.argmin())
+                if key[i] < min(best.get((lang, part), (math.inf,))[0], math.inf):
+                    best[lang, part] = (float(key[i]), bits[rows[i]], n[rows[i]])
+        if best:
+            columns = [[k[0] for k in best], [k[1] for k in best], *zip(*best.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.float64(), pa.binary(), pa.binary()))], ["lang", "part", "key", "bits", "n"])
+
+    found = counts.mapInArrow(run, "lang string, part int, key double, bits binary, n binary").groupBy("lang", "part").agg(F.min(F.struct("key", "bits", "n")).alias("x"))
+    return {(r.lang, r.part): model.vectors(unpacked([bytes(r.x.bits)], [bytes(r.x.n)], model.slots)) for r in found.collect()}
+
+
+def _moved(counts: DataFrame, model: Model, centres: dict[tuple[str, int], np.ndarray], most: int = 1000) -> dict[tuple[str, int], np.ndarray]:
+    """Each centre at the mean direction of the documents that are nearest to it, or where it was if there are none.
+
+    A task holds at most about ``most`` sums and those of one slice; then it gives them away."""
+    shared = counts.sparkSession.sparkContext.broadcast((model, centres))
+    names, kinds = ["lang", "part", "place", "x"], (pa.string(), pa.int32(), pa.int32(), pa.binary())
+
+    def batch(sums: dict) -> pa.RecordBatch:
+        columns = [*zip(*sums), [x.tobytes() for x in sums.values()]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+    def add(batches):
+        model, centres = shared.value
+        sums = {}
+        for groups, _, _, _, x in _groups(batches, model):
+            keys, which = [], []
+            for lang, part, rows in groups:
+                to = (x[rows] @ centres[lang, part].T).argmax(axis=1)
+                for place in np.unique(to):
+                    keys.append((lang, part, int(place)))
+                    which.append(rows[to == place])
+            members = np.zeros((len(keys), len(x)), np.float32)
+            for row, own in zip(members, which):
+                row[own] = 1
+            for key, total in zip(keys, members @ np.rint(x * UNIT)):
+                sums[key] = sums[key] + total if key in sums else total.astype(np.float64)
+            if len(sums) > most:
+                yield batch(sums)
+                sums = {}
+        if sums:
+            yield batch(sums)
+
+    def whole(batches):
+        sums = {}
+        for b in batches:
+            for *key, x in zip(*(c.to_pylist() for c in b.columns)):
+                x = np.frombuffer(x)
+                sums[tuple(key)] = sums[tuple(key)] + x if tuple(key) in sums else x
+        if sums:
+            yield batch({key: (x / max(np.linalg.norm(x), 1e-12)).astype("<f4") for key, x in sums.items()})
+
+    schema = "lang string, part int, place int, x binary"
+    found = {key: x.copy() for key, x in centres.items()}
+    for r in counts.mapInArrow(add, schema).repartition("lang", "part", "place").mapInArrow(whole, schema).collect():
+        found[r.lang, r.part][r.place] = np.frombuffer(r.x, "<f4")
+    return found
+
+
+def _cosines(rows: DataFrame, halves: list[Model], seed: int) -> DataFrame:
+    """lang, class, at: cosines in steps of the beginnings of each text, at the least length of each class, by the half that
+    it is not in."""
+    shared = rows.sparkSession.sparkContext.broadcast(halves)
 
     def make():
         models = shared.value
         grams = Grams(models[0].slots)
 
         def step(texts, keys):
-            out = {"lang": [], "class": [], "cosine": []}
-            for text, lang, half in zip(texts, keys["lang"], keys["half"]):
+            out = {"lang": [], "class": [], "at": []}
+            for text, lang, h in zip(texts, keys["lang"], keys["h"]):
                 x = grams.letters(text)
                 own = [k for k in range(CLASSES) if len(x) >= max((1 << k) // 2, 1)]
                 if own:
-                    cosines = models[1 - half].nearest(np.stack([grams.counts(x[: (1 << k) // 2 + 2]) for k in own]))[1]
+                    counts = grams.counts_of_beginnings(x, [min((1 << k) // 2 + 2, len(x)) for k in own])
+                    cosines = models[1 - (h & 1)].nearest(counts)[1]
                     out["lang"] += [lang] * len(own)
                     out["class"] += own
-                    out["cosine"] += cosines.tolist()
+                    out["at"] += np.floor(cosines * STEPS).astype(int).tolist()
             return out
 
         return step
 
-    return map_texts(sample, ["lang", "half"], "text", make, "lang string, class int, cosine double")
+    return map_texts(rows.withColumn("h", _hash(seed)), ["lang", "h"], "text", make, "lang string, class int, at int")
 
 
-def _bounds(sample: DataFrame, models: list[Model], low: float, own_low: float, least: int = 200) -> np.ndarray:
-    """By language and length class, from the whole sample: the ``low`` quantile over all languages, of classes that have
+def _quantiles(steps: DataFrame, keys: list[str], share: float) -> list:
+    """keys, low, total: the quantile of (at, n), as F.percentile gives it; a task holds steps, however many documents they count."""
+    by = Window.partitionBy(*keys)
+    place = F.lit(share) * (F.col("total") - 1)
+    counted = steps.groupBy(*keys, "at").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(by.orderBy("at"))).withColumn("total", F.sum("n").over(by))
+    ends = [F.min(F.when(F.col("upto") > end, F.col("at"))) for end in (F.floor(place), F.ceil(place))]
+    found = counted.groupBy(*keys, "total").agg(ends[0].alias("a"), ends[1].alias("b"))
+    return found.select(*keys, "total", ((F.col("a") + (F.col("b") - F.col("a")) * (place - F.floor(place))) / STEPS).alias("low")).collect()
+
+
+def _bounds(rows: DataFrame, halves: list[Model], langs: list[str], low: float, own_low: float, seed: int, least: int = 200) -> np.ndarray:
+    """By language and length class, from all rows: the ``low`` quantile over all languages, of classes that have
     ``least`` documents, but not above the language's own ``own_low`` quantile, so that no language goes as a whole.
     What a class lacks is taken from the next shorter one."""
-    cosines = written(_cosines(sample, models), "langid-cosines")
-    pooled = {r["class"]: r.low for r in cosines.groupBy("class").agg(F.percentile("cosine", F.lit(low)).alias("low"), F.count("*").alias("n")).where(F.col("n") >= least).collect()}
-    own = {(r.lang, r["class"]): r.low for r in cosines.groupBy("lang", "class").agg(F.percentile("cosine", F.lit(own_low)).alias("low")).collect()}
-    forget(cosines)
-    bounds = np.zeros((len(models[2].langs), CLASSES))
-    for i, lang in enumerate(models[2].langs):
+    steps = written(_cosines(rows, halves, seed).groupBy("lang", "class", "at").agg(F.count("*").alias("n")), "langid-cosines")
+    pooled = {r["class"]: r.low for r in _quantiles(steps, ["class"], low) if r.total >= least}
+    own = {(r.lang, r["class"]): r.low for r in _quantiles(steps, ["lang", "class"], own_low)}
+    forget(steps)
+    bounds = np.zeros((len(langs), CLASSES))
+    for i, lang in enumerate(langs):
         usual = most = math.inf
         for k in range(CLASSES):
             usual, most = pooled.get(k, usual), own.get((lang, k), most)
@@ -186,40 +350,6 @@ def _bounds(sample: DataFrame, models: list[Model], low: float, own_low: float,
     return bounds
 
 
-def _idf(rows: DataFrame, slots: int) -> np.ndarray:
-    """Over all rows; each task gives one row per slot."""
-
-    def run(batches):
-        grams, seen, n = Grams(slots), np.zeros(slots + 1, np.int64), 0
-        for b in batches:
-            for t in b.column(0):
-                x = grams.letters(t.as_py())
-                if len(x):
-                    seen[:-1] += grams.counts(x) > 0
-                    n += 1
-        seen[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(slots + 1, dtype=np.int32)), pa.array(seen)], ["slot", "n"])
-
-    found = rows.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
-    seen = np.zeros(slots + 1)
-    for r in found:
-        seen[r.slot] = r.n
-    return (np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1).astype(np.float32)
-
-
-def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
-    """Unit centroids by spherical k-means, begun with rows far from one another."""
-    r = np.random.default_rng(seed)
-    centres = x[[int(r.integers(len(x)))]]
-    while len(centres) < min(k, len(x)):
-        centres = np.concatenate([centres, x[[int((x @ centres.T).max(axis=1).argmin())]]])
-    for _ in range(rounds):
-        to = (x @ centres.T).argmax(axis=1)
-        sums = np.stack([x[to == i].sum(axis=0) if (to == i).any() else centres[i] for i in range(len(centres))])
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    return centres
-
-
 def predict(docs: DataFrame, model: Model, keys: list[str], with_text: bool = False) -> DataFrame:
     """keys, lang_pred, score (cosine, 0 to 1), rejected, and text if asked for: one row per row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages * centroids * slots floats

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lakescan.llm.langid import Grams, fit, held_out, predict
+from lakescan.llm.langid import CLASSES, Grams, _hash, fit, held_out, packed, predict, unpacked
 from lakescan.llm.queries import op10_language_id
 
 from .helpers import ODD, at, odd
@@ -151,3 +151,55 @@ def test_gram_counts_are_those_of_a_plain_loop():
     assert [int(c) for c in x] == [0, 97, 98, 0, 99, 0, 233, 0]
     assert g.counts(x).sum() == len(x) + len(x) - 1 + len(x) - 2
     assert len(g.letters("12 !?")) == len(g.letters(None)) == 0
+
+
+def test_centroids_and_bounds_come_from_all_training_documents(spark):
+    """One centroid a language, so that it, those of the halves and all bounds are plain means and quantiles; English has over 400."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL").select("doc_id", "text", "lang")
+    model, g = fit(docs, centroids=1), Grams(4096)
+    rows = [(r.lang, r.h & 1, x) for r in docs.withColumn("h", _hash(17)).collect() if len(x := g.letters(r.text))]
+    assert sum(lang == "en" for lang, _, _ in rows) > 400
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    def vectors(counts):
+        return unit(np.log1p(np.stack(counts)) * model.idf.astype(float))
+
+    def means(part):
+        own = {lang: [g.counts(x) for l, h, x in rows if l == lang and part in (h, 2)] for lang in model.langs}
+        return np.stack([unit(vectors(own[lang]).sum(axis=0)) for lang in model.langs])
+
+    assert np.abs(model.centroids - means(2)).max() < 1e-4
+    halves, found = [means(0), means(1)], {}
+    for lang, h, x in rows:
+        for k in range(CLASSES):
+            if len(x) >= max((1 << k) // 2, 1):
+                cosine = (vectors([g.counts(x[: (1 << k) // 2 + 2])]) @ halves[1 - h].T).max()
+                found.setdefault(k, []).append((cosine, lang))
+    for k in range(CLASSES):
+        if len(found.get(k, [])) >= 200:
+            low = np.quantile([c for c, _ in found[k]], 0.001)
+            for i, lang in enumerate(model.langs):
+                own = np.quantile([c for c, l in found[k] if l == lang], 0.02)
+                assert model.bounds[i, k] == pytest.approx(min(low, own), abs=1e-3)
+
+
+def test_the_model_does_not_depend_on_the_order_of_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    a, b = fit(docs), fit(docs.orderBy(held_out(), "text").repartition(3))
+    assert np.abs(a.centroids - b.centroids).max() < 1e-6 and np.abs(a.bounds - b.bounds).max() < 1e-4
+
+
+def test_packed_counts():
+    rows = np.zeros((3, 70), np.int64)
+    rows[0, [0, 69]], rows[1, 5], rows[2, :] = (255, 1), 70_000, 3
+    bits, values = zip(*(packed(x) for x in rows))
+    assert unpacked(bits, values, 70).tolist() == rows.tolist()
+
+
+def test_counts_of_beginnings():
+    g = Grams(4096)
+    x = g.letters("Ab, c1é! and more words")
+    for n, got in zip((1, 2, 3, 9, len(x)), g.counts_of_beginnings(x, [1, 2, 3, 9, len(x)])):
+        assert got.tolist() == g.counts(x[:n]).tolist()
