@@ -57,19 +57,29 @@ class Grams:
         b = (a[:-1] ^ (a[:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + letters[1:]
         c = (b[:-1] ^ (b[:-1] >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) + letters[2:]
         mixed = ((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40) for x in (a, b, c))
-        return [(x % np.uint64(self.slots)).astype(np.int64) for x in mixed]
+        if self.slots & (self.slots - 1):
+            return [(x % np.uint64(self.slots)).view(np.int64) for x in mixed]
+        return [(x & np.uint64(self.slots - 1)).view(np.int64) for x in mixed]  # the same, and much faster
 
     def counts(self, letters: np.ndarray) -> np.ndarray:
         return np.bincount(np.concatenate(self.keys(letters)), minlength=self.slots)
 
-    def counts_of_beginnings(self, letters: np.ndarray, lengths: list[int]) -> np.ndarray:
-        """A row of counts for each of the ascending lengths."""
-        keys, rows, before = self.keys(letters), np.zeros((len(lengths), self.slots), np.int64), 0
-        for row, n in zip(rows, lengths):
-            new = [x[max(before - i, 0) : max(n - i, 0)] for i, x in enumerate(keys)]
-            row += np.bincount(np.concatenate(new), minlength=self.slots)
-            before = n
-        return np.cumsum(rows, axis=0)
+    def beginnings(self, letters: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The slots that the text has, and a row of their counts for each of the ascending lengths."""
+        keys = self.keys(letters)
+        slots = np.flatnonzero(np.bincount(np.concatenate(keys), minlength=self.slots))
+        place = np.zeros(self.slots, np.int64)
+        place[slots] = np.arange(len(slots))
+        first, at = np.arange(len(lengths)) * len(slots), []
+        for i, x in enumerate(keys):
+            new = np.clip(np.array(lengths) - i, 0, len(x))
+            n = new[-1]
+            new[1:] -= new[:-1].copy()
+            at.append(place[x[:n]] + np.repeat(first, new))
+        rows = np.bincount(np.concatenate(at), minlength=len(lengths) * len(slots)).reshape(len(lengths), -1).astype(np.float32)
+        for before, row in zip(rows, rows[1:]):
+            row += before
+        return slots, rows
 
 
 def packed(counts: np.ndarray) -> tuple[bytes, bytes]:
@@ -204,8 +214,8 @@ def _models(counts: DataFrame, empty: Model, centroids: int, rounds: int = 12) -
     return [model(part) for part in range(3)]
 
 
-def _groups(batches, model: Model):
-    """From batches of (lang, h, bits, n): (language, part, rows of the slice), for a slice of documents with its vectors."""
+def _groups(batches):
+    """From batches of (lang, h, bits, n) slices of documents, and (language, part, rows of the slice) of each."""
     for b in batches:
         for i in range(0, b.num_rows, DOCS):
             lang, h, bits, n = (c.slice(i, DOCS).to_pylist() for c in b.columns)
@@ -215,7 +225,7 @@ def _groups(batches, model: Model):
             for k, name in enumerate(langs):
                 own = np.flatnonzero(of == k)
                 groups += [(name, part, x) for part in (0, 1) if len(x := own[h[own] & np.uint64(1) == part])] + [(name, 2, own)]
-            yield groups, h, bits, n, model.vectors(unpacked(bits, n, model.slots))
+            yield groups, h, bits, n
 
 
 def _drawn(counts: DataFrame, model: Model, centres: dict[tuple[str, int], np.ndarray], turn: int) -> dict[tuple[str, int], np.ndarray]:
@@ -226,7 +236,8 @@ def _drawn(counts: DataFrame, model: Model, centres: dict[tuple[str, int], np.nd
     def run(batches):
         model, centres = shared.value
         best = {}
-        for groups, h, bits, n, x in _groups(batches, model):
+        for groups, h, bits, n in _groups(batches):
+            x = model.vectors(unpacked(bits, n, model.slots)) if turn else None
             u = (h >> np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((turn + 1) * 0xD1342543DE82EF95 % 2**64)
             for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
                 u = (u ^ u >> np.uint64(shift)) * np.uint64(factor)
@@ -261,7 +272,8 @@ def _moved(counts: DataFrame, model: Model, centres: dict[tuple[str, int], np.nd
     def add(batches):
         model, centres = shared.value
         sums = {}
-        for groups, _, _, _, x in _groups(batches, model):
+        for groups, _, bits, n in _groups(batches):
+            x = model.vectors(unpacked(bits, n, model.slots))
             keys, which = [], []
             for lang, part, rows in groups:
                 to = (x[rows] @ centres[lang, part].T).argmax(axis=1)
@@ -302,7 +314,7 @@ def _cosines(rows: DataFrame, halves: list[Model], seed: int) -> DataFrame:
 
     def make():
         models = shared.value
-        grams = Grams(models[0].slots)
+        grams, across = Grams(models[0].slots), [np.ascontiguousarray(m.centroids.T) for m in models]
 
         def step(texts, keys):
             out = {"lang": [], "class": [], "at": []}
@@ -310,8 +322,9 @@ def _cosines(rows: DataFrame, halves: list[Model], seed: int) -> DataFrame:
                 x = grams.letters(text)
                 own = [k for k in range(CLASSES) if len(x) >= max((1 << k) // 2, 1)]
                 if own:
-                    counts = grams.counts_of_beginnings(x, [min((1 << k) // 2 + 2, len(x)) for k in own])
-                    cosines = models[1 - (h & 1)].nearest(counts)[1]
+                    slots, counts = grams.beginnings(x[: (1 << own[-1]) // 2 + 2], [(1 << k) // 2 + 2 for k in own])
+                    vectors = np.log1p(counts) * models[0].idf[slots]
+                    cosines = (vectors @ across[1 - (h & 1)][slots]).max(axis=1) / np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)
                     out["lang"] += [lang] * len(own)
                     out["class"] += own
                     out["at"] += np.floor(cosines * STEPS).astype(int).tolist()

@@ -201,5 +201,8 @@ def test_packed_counts():
 def test_counts_of_beginnings():
     g = Grams(4096)
     x = g.letters("Ab, c1é! and more words")
-    for n, got in zip((1, 2, 3, 9, len(x)), g.counts_of_beginnings(x, [1, 2, 3, 9, len(x)])):
-        assert got.tolist() == g.counts(x[:n]).tolist()
+    lengths = [1, 2, 3, 9, len(x)]
+    slots, rows = g.beginnings(x, lengths)
+    assert rows.sum() == sum(3 * n - 3 if n > 1 else 1 for n in lengths)
+    for n, row in zip(lengths, rows):
+        assert row.tolist() == g.counts(x[:n])[slots].tolist()
