@@ -106,7 +106,8 @@ class Packer:
         while (left > leave or (self.cut and left and tokens > self.held // 2)) and not (self.cut and leave and tokens < self.size):
             rest, bin_ = limits.copy(), []
             while left and rest[0] > 0 and rest[1] > 0:
-                score = np.where((need <= rest).all(axis=1) & alive, share @ rest, -1.0)
+                fits = (need[:, 0] <= rest[0]) & (need[:, 2] <= rest[2]) & alive  # of segments one is left
+                score = np.where(fits, share @ rest, -1.0)
                 best = int(score.argmax())
                 at = self.size - int(rest[0])
                 n = 0
@@ -189,7 +190,7 @@ def pack_documents(
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches):
-        enc, packer = encoder(tokenizer, kind), Packer(size, segments, loss)
+        enc, packer = encoder(tokenizer, kind, 700_000), Packer(size, segments, loss)
         sequence = TaskContext.get().partitionId() << 33
 
         def rows(bins):

@@ -8,6 +8,7 @@ them; what is between two of them is encoded as a text of its own.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import compress, islice
@@ -45,6 +46,28 @@ TWO = [a + b for a in " \n" for b in " \n"]
 THREE = [a + b for a in TWO for b in " \n"]
 
 
+#: Pieces of Latin-1 letters, which RULES leave as they are, in one stretch.
+LETTERS = {"word": re.compile("[a-z\xdf-\xf6\xf8-\xff]+")}
+
+
+def _bytes(regex: bool) -> dict:
+    return {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": regex}
+
+
+# Normalizer and pre-tokenizer, as the vocabularies' files have them.
+STRETCHES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+RULES = {
+    "word": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": STRETCHES}, "behavior": "Removed", "invert": True}, _bytes(False)]},
+    ),
+}
+
+
+def _state(part) -> dict | None:
+    return None if part is None else json.loads(part.__getstate__())
+
+
 class _Index(dict):
     def __missing__(self, piece: str) -> int:
         self[piece] = at = len(self)
@@ -70,8 +93,23 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True  # pieces never hold the strings, but in lower case they may seem to
         self.kind, self.find, self.limit, self.between = kind, PIECES[kind].findall, limit, BETWEEN[kind]
         (self.mark,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
+        self.letters = self._for_letters()
         self._clear()
 
+    def _for_letters(self):
+        """The same model behind rules that only cut at spaces; None if the vocabulary's own are not RULES."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        if RULES.get(self.kind) != (_state(self.tokenizer.normalizer), _state(self.tokenizer.pre_tokenizer)):
+            return None
+        quick = Tokenizer(self.tokenizer.model)
+        quick.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # Of the ids of a piece only the last one bears the mark of an end.
+        suffix, vocabulary = self.tokenizer.model.end_of_word_suffix, self.tokenizer.get_vocab(with_added_tokens=False)
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        return quick
+
     def _clear(self) -> None:
         self.index = _Index()
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -105,9 +143,9 @@ class PieceEncoder:
         fresh += islice(self.index, known + len(fresh), None)
         alone = np.ones(len(fresh), bool)
         alone[np.array(whole, np.int64) - known] = False
-        flat, found = self._together(list(compress(fresh, alone)))
+        flat, at, found = self._ids(list(compress(fresh, alone)))
         sizes, starts = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
-        sizes[alone], starts[alone] = found, len(self.flat) + np.cumsum(found) - found
+        sizes[alone], starts[alone] = found, len(self.flat) + at
         self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, flat])
         if whole:
@@ -117,6 +155,33 @@ class PieceEncoder:
             self.starts[whole] = len(self.flat) + np.cumsum(self.sizes[whole]) - self.sizes[whole]
             self.flat = np.concatenate([self.flat, self.flat[_runs(self.starts[both].ravel(), sizes.ravel())]])
 
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of at least one piece in any order; where each piece's ids begin, and how many they are."""
+        plain = np.zeros(len(pieces), bool)
+        if self.letters is not None:
+            plain = np.fromiter((m is not None for m in map(LETTERS[self.kind].fullmatch, pieces)), bool, len(pieces))
+        found = self._of_letters(list(compress(pieces, plain))) if plain.any() else None
+        if found is None:
+            flat, sizes = self._together(pieces)
+            return flat, np.cumsum(sizes) - sizes, sizes
+        flat, own = found
+        sizes, starts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        sizes[plain], starts[plain] = own, np.cumsum(own) - own
+        if not plain.all():
+            more, own = self._together(list(compress(pieces, ~plain)))
+            sizes[~plain], starts[~plain] = own, len(flat) + np.cumsum(own) - own
+            flat = np.concatenate([flat, more])
+        return flat, starts, sizes
+
+    def _of_letters(self, pieces: list[str], most: int = 2048) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and numbers of ids of pieces of letters; None if ends are missing (the vocabulary lacks a byte, say)."""
+        joined = [" ".join(pieces[i : i + most]) for i in range(0, len(pieces), most)]
+        flat = np.concatenate([np.array(x.ids, np.uint32) for x in self.letters.encode_batch_fast(joined, add_special_tokens=False)])
+        edges = np.flatnonzero(self.edge[flat])
+        if len(edges) != len(pieces):
+            return None
+        return flat, np.diff(edges, prepend=-1)
+
     def _together(self, pieces: list[str], most: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """Ids and numbers of ids of at least one piece; pieces of white space or with the mark's own character go one by one."""
         mark = self.between.strip(" ")
@@ -191,7 +256,7 @@ class PieceEncoder:
         offsets = lists.offsets.to_numpy().astype(np.int64)
         words = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         get = self.index.__getitem__
-        known = np.fromiter(map(get, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+        known = np.fromiter(map(get, words.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(words.dictionary))
         codes, starts, counts = known[words.indices.to_numpy()], offsets[:-1] - offsets[0], np.diff(offsets)
         if all(plain):
             return codes, counts

@@ -37,6 +37,37 @@ def test_pieces_give_the_ids_of_whole_texts(name, kind):
             assert own.tolist() == t.encode(text or "", add_special_tokens=False).ids + [7]
 
 
+@pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "word")])
+def test_letters_skip_the_slow_rules(name, kind, monkeypatch):
+    """Words of Latin-1 letters are cut at spaces only, which costs half of the general rules, and get the library's ids."""
+    slow, together = [], PieceEncoder._together
+    monkeypatch.setattr(PieceEncoder, "_together", lambda self, pieces, *most: slow.extend(pieces) or together(self, pieces, *most))
+    letters = "".join(chr(c) for c in [*range(65, 91), *range(97, 123), *range(192, 256)] if c not in (215, 247))
+    small = letters.lower() if kind == "word" else letters
+    r = random.Random(3)
+    words = [*small, *("".join(r.choices(small, k=r.randint(1, 12))) for _ in range(4000))]
+    texts = ["\n" + " ".join(["", *words[a : a + 400]]) for a in range(0, len(words), 400)]
+    enc = PieceEncoder(tokenizer_path(name), kind)
+    others = [" ".join(["", *r.choices(letters, k=9), "e\u0301e e\u0301", "\xb5 \xaa\xba a\xd7b \xf7", "\u0178\xff"]) for _ in range(50)]
+    for given in (texts, others):
+        ids, stops = enc.encode(given, 7)
+        for text, own in zip(given, np.split(ids, stops[:-1])):
+            assert own.tolist() == encode(name, text) + [7]
+        if given is texts:
+            assert not any(p.strip().isalpha() for p in slow)
+
+
+def test_other_rules_are_followed(tmp_path):
+    """A vocabulary that takes accents off has no short way for letters."""
+    from tokenizers import normalizers
+
+    t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    t.normalizer = normalizers.Sequence([normalizers.NFD(), normalizers.StripAccents(), normalizers.Lowercase()])
+    t.save(f"{tmp_path}/t.json")
+    ids, _ = PieceEncoder(f"{tmp_path}/t.json", "word").encode(["\xe9t\xe9 na\xefve caf\xe9."], 7)
+    assert ids.tolist() == t.encode("\xe9t\xe9 na\xefve caf\xe9.", add_special_tokens=False).ids + [7]
+
+
 def test_added_tokens_with_rules_of_their_own(tmp_path):
     """Added tokens that take white space with them, or are matched in normalized text: whole texts go to the library."""
     from tokenizers import AddedToken
