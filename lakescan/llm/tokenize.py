@@ -46,14 +46,15 @@ TWO = [a + b for a in " \n" for b in " \n"]
 THREE = [a + b for a in TWO for b in " \n"]
 
 
-#: Pieces of Latin-1 letters, which RULES leave as they are, in one stretch.
-LETTERS = {"word": re.compile("[a-z\xdf-\xf6\xf8-\xff]+")}
+#: Pieces of Latin-1 letters (in "byte" behind a space), which RULES leave as they are, in one stretch.
+LETTERS = {"word": re.compile("[a-z\xdf-\xf6\xf8-\xff]+"), "byte": re.compile(" [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")}
 
 
 def _bytes(regex: bool) -> dict:
     return {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": regex}
 
 
+SPACE = "\u0120"  # as vocabularies of bytes write it
 # Normalizer and pre-tokenizer, as the vocabularies' files have them.
 STRETCHES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 RULES = {
@@ -61,6 +62,7 @@ RULES = {
         {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
         {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": STRETCHES}, "behavior": "Removed", "invert": True}, _bytes(False)]},
     ),
+    "byte": (None, _bytes(True)),
 }
 
 
@@ -103,11 +105,15 @@ class PieceEncoder:
         if RULES.get(self.kind) != (_state(self.tokenizer.normalizer), _state(self.tokenizer.pre_tokenizer)):
             return None
         quick = Tokenizer(self.tokenizer.model)
-        quick.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        # Of the ids of a piece only the last one bears the mark of an end.
+        cut = pre_tokenizers.WhitespaceSplit() if self.kind == "word" else pre_tokenizers.Split(" ", "merged_with_next")
+        quick.pre_tokenizer = pre_tokenizers.Sequence([cut, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # Of the ids of a piece only the last one bears the mark of an end, or only the first one the space.
         suffix, vocabulary = self.tokenizer.model.end_of_word_suffix, self.tokenizer.get_vocab(with_added_tokens=False)
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.edge[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        if self.kind == "byte":
+            self.edge[[i for t, i in vocabulary.items() if t[:1] == SPACE]] = True
+        elif suffix:
+            self.edge[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         return quick
 
     def _clear(self) -> None:
@@ -174,13 +180,14 @@ class PieceEncoder:
         return flat, starts, sizes
 
     def _of_letters(self, pieces: list[str], most: int = 2048) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids and numbers of ids of pieces of letters; None if ends are missing (the vocabulary lacks a byte, say)."""
-        joined = [" ".join(pieces[i : i + most]) for i in range(0, len(pieces), most)]
-        flat = np.concatenate([np.array(x.ids, np.uint32) for x in self.letters.encode_batch_fast(joined, add_special_tokens=False)])
+        """Ids and numbers of ids of pieces of letters; None if edges are missing (the vocabulary lacks a byte, say)."""
+        between = " " if self.kind == "word" else ""
+        joined = (between.join(pieces[i : i + most]) for i in range(0, len(pieces), most))
+        flat = np.concatenate([np.array(self.letters.encode_batch_fast([x], add_special_tokens=False)[0].ids, np.uint32) for x in joined])
         edges = np.flatnonzero(self.edge[flat])
         if len(edges) != len(pieces):
             return None
-        return flat, np.diff(edges, prepend=-1)
+        return flat, np.diff(edges, prepend=-1) if self.kind == "word" else np.diff(edges, append=len(flat))
 
     def _together(self, pieces: list[str], most: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """Ids and numbers of ids of at least one piece; pieces of white space or with the mark's own character go one by one."""
